@@ -239,5 +239,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     marks = common.checkpoint(common.map_batches(rows, run, "id long, fp long, row_id long"))
     found = near_duplicates(df, id_col, text_col, radius, shingle, marks)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "row_id")).alias("first")).select(F.col("first.row_id").alias(number))
-    # The whole input is numbered again as it was; which rows stay is one long each.
-    return df.withColumn(number, F.monotonically_increasing_id()).join(common.checkpoint(best), number, "left_semi").drop(number)
+    # The whole input is numbered again as it was; which rows stay is one long each. The set grows with the input, so it
+    # is dealt out with the rows at every size instead of being broadcast while it is small.
+    return df.withColumn(number, F.monotonically_increasing_id()).join(common.checkpoint(best).hint("merge"), number, "left_semi").drop(number)
