@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import common, decision_list, decontaminate, lattice, simhash, token_rollup, toxicity, url_rules
+from corvid.llm import common, decision_list, decontaminate, lattice, lbl, simhash, token_rollup, toxicity, url_rules
 from corvid.llm.common import read
 
 
+def op1_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    found = lbl.scores(read(spark, sf_dir, "documents"), common.remainder(F.col("id"), 7) == 2, F.pmod(F.floor(crc / 7), F.lit(8)))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -63,6 +69,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lbl": op1_lbl,
     "op2_simhash": op2_simhash,
     "op3_url_rules": op3_url_rules,
     "op4_sentencepiece": op4_sentencepiece,
