@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import common, decision_list, decontaminate, lattice, lbl, simhash, token_rollup, toxicity, url_rules
+from corvid.llm import common, cotraining, decision_list, decontaminate, lattice, lbl, simhash, token_rollup, toxicity, url_rules, wrappers
 from corvid.llm.common import read
 
 
@@ -40,6 +40,11 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(s[k].alias(k) for k in base), decision_list.base_failed(s).alias("base_failed"), kept.alias("kept"))
 
 
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.texts(read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_sha256(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -54,6 +59,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (common.remainder(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, read(spark, sf_dir, "labels"), common.remainder(F.col("id"), 5) != 1)
+    found = cotraining.scores(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (common.remainder(F.col("id"), 5) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted with their words as a first count, then revised to token counts; each batch is sent
     twice, and the second time changes nothing."""
@@ -74,8 +86,10 @@ QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decision_list": op5_decision_list,
+    "op6_wrappers": op6_wrappers,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_cotraining": op9_cotraining,
     "op10_token_rollup": op10_token_rollup,
 }
 
