@@ -186,7 +186,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of an edge; root is the smallest node of its component. Large-star and small-star
+    """(node, root) for each node of an edge that is not its component's root, the smallest node. Large-star and small-star
     rounds until nothing changes; each round is written to the shared folder."""
 
     def state(e: DataFrame) -> tuple:
