@@ -2,8 +2,10 @@
 
 Two models, one of toxic and one of ordinary texts, give each word a log-likelihood; a text's score is calibrated from
 the difference of the two per word: that of its ``TELLING`` most toxic words beyond the median word's, and the text's
-length, since longer texts have larger extremes by chance. (The mean over all words drowns in what tells languages
-apart: held-out AUC 0.66 against 0.96 on the 3,980 labelled texts of sf0.1.) A word's probability is its discounted
+length, since longer texts have larger extremes by chance. (Both were chosen by cross-validation in five folds of the
+2,636 rows of sf0.1 that may be learned from: means over 1, 2, 3, 5, 8, 12 or all words, with and without the median,
+by recall less false alarms at the threshold. Five beyond the median: AUC 0.970, all words: 0.861, all words without the
+median: 0.724, as they drown in what tells languages apart.) A word's probability is its discounted
 count in the class plus shared mass, which a character model of order ``ORDER`` within the word tilts. The character models of both classes back off to one shared Kneser-Ney model whose lower orders count distinct
 left contexts over both classes, so an expression that is rare in both gets the same probability from both and tells
 nothing, while a stem that only toxic texts use tells a lot even in a word never seen.
@@ -38,7 +40,7 @@ STRENGTH = 8
 FLOOR = 10
 SHARE = 0.5
 #: Words by which a text is judged: those whose difference is largest.
-TELLING = 3
+TELLING = 5
 #: Words whose scores a worker remembers.
 REMEMBERED = 400_000
 _TRIM = b".,;:!?\"'()[]{}%&*$#|<>-"
