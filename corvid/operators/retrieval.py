@@ -41,6 +41,34 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     return top(pairs.select("query_id", "vec_id", F.round(score, 6).alias("score")), k, F.desc("score"), "vec_id")
 
 
+def max_sim(query_tokens: Column, row_tokens: Column) -> Column:
+    """Sum over the query's token vectors of the best cosine with a token vector of the row; 0 if a side has none."""
+    best = F.transform(query_tokens, lambda q: F.array_max(F.transform(row_tokens, lambda t: cosine(q, t))))
+    return F.when((F.size(query_tokens) > 0) & (F.size(row_tokens) > 0), F.aggregate(best, F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(0.0))
+
+
+def late_interaction(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """vectors (vec_id, embedding, tokens), queries (query_id, q, q_tokens): max(4k, 20) rows by cosine, then the k best by
+    MaxSim; a row without token vectors keeps its cosine. Only candidates' ids are shuffled before their tokens are met."""
+    found = knn(vectors, queries, max(4 * k, 20)).drop("rank")
+    met = found.join(vectors.select("vec_id", "tokens"), "vec_id").join(queries.select("query_id", "q_tokens"), "query_id")
+    score = F.when(F.size(F.coalesce("tokens", F.array())) > 0, max_sim(F.col("q_tokens"), F.col("tokens"))).otherwise(F.col("score"))
+    return top(met.select("query_id", "vec_id", F.round(score, 6).alias("score")), k, F.desc("score"), "vec_id")
+
+
+def distinct_hits(hits: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """hits (query_id, rank, item, text, vector) without those that resemble a better one that stays.
+
+    In the order of rank, a hit stays unless its cosine with one that stays is ``threshold`` or more; where one of two has
+    no vector, equal texts resemble. A query's hits are few: the k of the search before."""
+    one = F.array_sort(F.collect_list(F.struct("rank", "item", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(doubles(F.col("vector")), F.array().cast("array<double>")).alias("vector"))))
+    grouped = hits.groupBy("query_id").agg(one.alias("hits"))
+    alike = lambda a, b: F.when((F.size(a["vector"]) == 0) | (F.size(b["vector"]) == 0), a["text"] == b["text"]).otherwise(cosine(a["vector"], b["vector"]) >= threshold)
+    none = F.slice(F.col("hits"), 1, 0)
+    kept = F.aggregate("hits", none, lambda kept, h: F.when(F.exists(kept, lambda x: alike(x, h)), kept).otherwise(F.concat(kept, F.array(h))))
+    return grouped.select("query_id", F.explode(kept).alias("h")).select("query_id", "h.item", "h.rank")
+
+
 def best_per_document(hits: DataFrame) -> DataFrame:
     """The best chunk of each (query, strategy, document)."""
     w = Window.partitionBy("query_id", "strategy", "doc_id").orderBy(F.desc("score"), "chunk")

@@ -42,3 +42,13 @@ def locate(text: Column, quote: Column) -> Column:
     """Character offset of a quote in a text: exact, else with white space collapsed on both sides; -1 if absent."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     return F.when(F.instr(text, quote) > 0, F.instr(text, quote) - 1).when(F.contains(flat(text), flat(quote)), F.instr(flat(text), flat(quote)) - 1).otherwise(-1)
+
+
+#: What an experiment needs before its challenger may be promoted.
+MIN_SAMPLES, MIN_GAIN = 50, 0.05
+
+
+def ready_to_promote(samples: Column, champion: Column, challenger: Column, closed: Column | None = None) -> Column:
+    """Whether an experiment that is not closed shows enough gain on enough samples; null measures are not ready."""
+    ready = F.coalesce((samples >= MIN_SAMPLES) & (challenger > champion + MIN_GAIN), F.lit(False))
+    return ready if closed is None else ready & ~F.coalesce(closed, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.operators import chunking, context, graph, lifecycle, retrieval, verification
+from corvid.operators import chunking, context, graph, lifecycle, retrieval, tree, verification
 from corvid.session import table
 from corvid.sources import documents as sources
 from corvid.streaming import stateful
@@ -57,6 +57,50 @@ def knn_l2_top10(spark, sf):
     return retrieval.knn(table(spark, sf, "embeddings"), _vector_queries(spark, sf), metric="l2")
 
 
+def _token_vectors(v):
+    """Four vectors of a quarter of the places each stand in for token vectors."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v.cast("array<double>"), i * 16 + 1, 16))
+
+
+def late_interaction_top5(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding", _token_vectors(F.col("embedding")).alias("tokens"))
+    return retrieval.late_interaction(v, _vector_queries(spark, sf).withColumn("q_tokens", _token_vectors(F.col("q"))))
+
+
+def distinct_hits(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    hits = knn_cosine_top10(spark, sf).join(v, "vec_id").select("query_id", "rank", F.col("vec_id").alias("item"), F.lit("").alias("text"), "vector")
+    return retrieval.distinct_hits(hits, 0.3).withColumnRenamed("item", "vec_id")
+
+
+def _tree(spark, sf):
+    """Leaves, a level by label, and a root over it."""
+    one, name = F.lit("embeddings"), F.format_string("L%d", F.col("label"))
+    v = table(spark, sf, "embeddings")
+    leaves = v.select(one.alias("source"), F.format_string("%d", F.col("vec_id")).alias("node"), F.col("vec_id").alias("leaf"), F.lit(1).alias("n_leaves"), F.col("embedding").alias("vector"))
+    first = tree.level_up(leaves, v.select(one.alias("source"), F.format_string("%d", F.col("vec_id")).alias("node"), name.alias("parent")), 1)
+    root = tree.level_up(first, v.select(one.alias("source"), name.alias("node"), F.lit("root").alias("parent")).distinct(), 2)
+    return leaves, first, root
+
+
+def tree_levels(spark, sf):
+    _, first, root = _tree(spark, sf)
+    length = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6)
+    return first.unionByName(root).select("node", "level", "n_children", "n_leaves", "leaf", "summary", length.alias("length"))
+
+
+def tree_search_top10(spark, sf):
+    leaves, first, root = _tree(spark, sf)
+    kinds = (leaves.withColumn("level", F.lit(0)), first, root)
+    leaf, one, two = (n.select("node", "level", F.col("vector").cast("array<double>").alias("vector")) for n in kinds)
+    return tree.search(leaf.unionByName(one).unionByName(two), _vector_queries(spark, sf))
+
+
+def experiment_ready(spark, sf):
+    li = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("samples"), *(F.round(F.avg(F.col(c).cast("double")) * 10, 6).alias(a) for c, a in (("l_tax", "champion"), ("l_discount", "challenger"))))
+    return li.select(F.col("l_suppkey").alias("experiment_id"), "samples", verification.ready_to_promote(F.col("samples"), F.col("champion"), F.col("challenger")).alias("ready"))
+
+
 def retrieval_metrics(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
     ranked = knn_cosine_top10(spark, sf).select("query_id", F.col("vec_id").alias("item"), "rank")
@@ -225,6 +269,12 @@ _OVER = """, cw AS (SELECT DISTINCT doc_id, pos, unnest(list_filter(regexp_split
 _KNN = """k AS (SELECT q.vec_id AS query_id, v.vec_id, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
   kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM k) WHERE rank <= 10)"""
 _COS = _KNN.format(score="list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))")
+_TREE = """x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  p1 AS (SELECT label, i, avg(e[i]) AS m FROM (SELECT label, e, unnest(range(1, len(e) + 1)) AS i FROM x) GROUP BY ALL), c1 AS (SELECT label, list(m ORDER BY i) AS v FROM p1 GROUP BY label),
+  n1 AS (SELECT 'L' || label AS node, 1 AS level, n AS n_children, n AS n_leaves, leaf, n || ' chunks clustered at level 1' AS summary, v FROM (SELECT label, count(*) AS n, min(vec_id) AS leaf FROM x GROUP BY label) JOIN c1 USING (label)),
+  p2 AS (SELECT i, avg(m) AS m FROM p1 GROUP BY i),
+  n2 AS (SELECT 'root' AS node, 2 AS level, count(*) AS n_children, CAST(sum(n_leaves) AS BIGINT) AS n_leaves, min(leaf) AS leaf, count(*) || ' chunks clustered at level 2' AS summary, (SELECT list(m ORDER BY i) FROM p2) AS v FROM n1),
+  n AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2)"""
 _GRAPH = """e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
   e AS (SELECT DISTINCT * FROM (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0)),
   h0 AS (SELECT s_suppkey AS query_id, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 5),
@@ -235,7 +285,7 @@ _VERSIONS = """v AS (SELECT o_custkey AS document_id, row_number() OVER (PARTITI
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_fixed_top10, chunk_fixed, chunk_inspect, chunk_sizes, knn_cosine_top10, knn_l2_top10, retrieval_metrics, rrf_fusion, weighted_fusion, overlap_retrieval, classify_queries, graph_bfs, graph_hop_decay,
+        bm25_fixed_top10, chunk_fixed, chunk_inspect, chunk_sizes, knn_cosine_top10, knn_l2_top10, late_interaction_top5, distinct_hits, tree_levels, tree_search_top10, experiment_ready, retrieval_metrics, rrf_fusion, weighted_fusion, overlap_retrieval, classify_queries, graph_bfs, graph_hop_decay,
         document_dedup, mime_types, sanitise_pages, conversation_history, context_rrf, merge_passages, cluster_passages, pack_budget, render_xml, citation_refs, verdict_counts, versions_latest, retention_gc, source_counts, rate_limits, circuit_breaker, provider_stats,
     )
 } | {f"chunk_{n}": _chunker(n) for n in chunking.STRATEGIES}
@@ -248,6 +298,23 @@ ORACLES = {
         SELECT n, mean, l[CAST(floor(0.5 * (n - 1) + 0.5) AS BIGINT) + 1] AS p50, l[CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT) + 1] AS p95 FROM o""",
     "knn_cosine_top10": f"WITH {_COS} SELECT * FROM kn",
     "knn_l2_top10": f"WITH {_KNN.format(score='1 / (1 + list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) ** 2)')} SELECT * FROM kn",
+    "late_interaction_top5": f"""WITH {_COS.replace('rank <= 10', 'rank <= 20')},
+        t AS (SELECT kn.query_id, kn.vec_id, i, max(list_cosine_similarity(CAST(q.embedding[i * 16 + 1:i * 16 + 16] AS DOUBLE[]), CAST(v.embedding[j * 16 + 1:j * 16 + 16] AS DOUBLE[]))) AS best
+              FROM kn JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = kn.query_id, range(4) a(i), range(4) b(j) GROUP BY ALL),
+        s AS (SELECT query_id, vec_id, round(sum(best), 6) AS score FROM t GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "distinct_hits": f"""WITH RECURSIVE {_COS}, h AS (SELECT kn.query_id, kn.rank, vec_id, CAST(v.embedding AS DOUBLE[]) AS e FROM kn JOIN embeddings v USING (vec_id)),
+        r AS (SELECT query_id, CAST(1 AS BIGINT) AS rank, [{{'id': vec_id, 'rank': rank, 'e': e}}] AS kept FROM h WHERE rank = 1
+              UNION ALL SELECT r.query_id, r.rank + 1, CASE WHEN len(list_filter(r.kept, lambda x: list_cosine_similarity(x.e, h.e) >= 0.3)) > 0 THEN r.kept ELSE list_append(r.kept, {{'id': h.vec_id, 'rank': h.rank, 'e': h.e}}) END
+              FROM r JOIN h ON h.query_id = r.query_id AND h.rank = r.rank + 1),
+        u AS (SELECT query_id, unnest(kept) AS k FROM r WHERE rank = 10)
+        SELECT query_id, k.id AS vec_id, k.rank AS rank FROM u""",
+    "tree_levels": f"WITH {_TREE} SELECT node, level, n_children, n_leaves, leaf, summary, round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS length FROM n",
+    "tree_search_top10": f"""WITH {_TREE}, a AS (SELECT CAST(vec_id AS VARCHAR) AS node, 0 AS level, e AS v FROM x UNION ALL SELECT node, level, v FROM n),
+        s AS (SELECT q.vec_id AS query_id, node, level, round(list_cosine_similarity(q.e, v) / (1 + level), 6) AS score FROM a, x q WHERE q.vec_id % 50 = 0)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM s) WHERE rank <= 10""",
+    "experiment_ready": """SELECT l_suppkey AS experiment_id, samples, samples >= 50 AND d > t + 0.05 AS ready
+        FROM (SELECT l_suppkey, count(*) AS samples, round(avg(CAST(l_tax AS DOUBLE)) * 10, 6) AS t, round(avg(CAST(l_discount AS DOUBLE)) * 10, 6) AS d FROM lineitem GROUP BY l_suppkey)""",
     "retrieval_metrics": f"""WITH {_COS}, r AS (SELECT kn.query_id, rank, CASE WHEN v.label = q.label THEN 1 ELSE 0 END AS rel, q.label FROM kn JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = kn.query_id),
         n AS (SELECT label, count(*) AS n_rel FROM embeddings GROUP BY label)
         SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit, round(coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0), 6) AS mrr,

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvid.functions import scalar
-from corvid.operators import chunking, context, graph, lifecycle, retrieval, verification
+from corvid.operators import chunking, context, graph, lifecycle, retrieval, tree, verification
 from corvid.streaming import stateful
 
 
@@ -127,3 +127,37 @@ def test_stream_drops_copies(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     ingest_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_tree_levels_and_search(spark):
+    leaves = spark.createDataFrame([("s", "a", 1, 1, [1.0, 0.0]), ("s", "b", 2, 1, [0.0, 1.0]), ("s", "c", 3, 1, [0.0, 3.0]), ("t", "a", 9, 1, [5.0, 5.0])], "source string, node string, leaf long, n_leaves int, vector array<double>")
+    parents = spark.createDataFrame([("s", "a", "x"), ("s", "b", "x"), ("s", "c", "y"), ("t", "a", "x")], "source string, node string, parent string")
+    up = tree.level_up(leaves, parents, 1)
+    got = {(r["source"], r["node"]): (r["n_children"], r["leaf"], r["summary"], r["vector"]) for r in up.collect()}
+    assert got == {("s", "x"): (2, 1, "2 chunks clustered at level 1", [0.5, 0.5]), ("s", "y"): (1, 3, "1 chunks clustered at level 1", [0.0, 3.0]), ("t", "x"): (1, 9, "1 chunks clustered at level 1", [5.0, 5.0])}
+    nodes = spark.createDataFrame([("leaf", 0, [1.0, 1.0]), ("up", 1, [2.0, 2.0]), ("deep", 4, [1.0, 1.0]), ("zero", 0, [0.0, 0.0]), ("short", 0, [1.0])], "node string, level int, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, q array<double>")
+    assert rows(tree.search(nodes, q).select("rank", "node", "score")) == [(1, "leaf", 1.0), (2, "up", 0.5), (3, "short", 0.0), (4, "zero", 0.0)]
+    assert tree.search(nodes.limit(0), q).count() == 0
+
+
+def test_late_interaction_ranks_by_tokens_and_falls_back(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], [[0.0, 1.0], [1.0, 0.0]]), (2, [1.0, 0.1], [[1.0, 0.0]]), (3, [1.0, 0.0], []), (4, [1.0, 0.0], None)], "vec_id long, embedding array<double>, tokens array<array<double>>")
+    q = spark.createDataFrame([(7, [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]])], "query_id long, q array<double>, q_tokens array<array<double>>")
+    assert rows(retrieval.late_interaction(v, q).select("rank", "vec_id", "score")) == [(1, 1, 2.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+
+
+def test_distinct_hits_compare_with_kept_ones_only(spark):
+    # 2 resembles 1 and goes; 3 resembles 2 but not 1 and stays. Without vectors, equal texts resemble.
+    hits = spark.createDataFrame(
+        [(1, 1, 10, "a", [1.0, 0.0]), (1, 2, 20, "b", [0.8, 0.6]), (1, 3, 30, "c", [0.28, 0.96]), (2, 1, 40, "x", []), (2, 2, 50, "x", [1.0]), (2, 3, 60, "y", None), (2, 4, 70, None, None), (2, 5, 80, None, [1.0])],
+        "query_id long, rank int, item long, text string, vector array<double>",
+    )
+    assert rows(retrieval.distinct_hits(hits, 0.75)) == [(1, 10, 1), (1, 30, 3), (2, 40, 1), (2, 60, 3), (2, 70, 4)]
+    assert retrieval.distinct_hits(hits.limit(0)).count() == 0
+
+
+def test_ready_to_promote(spark):
+    df = spark.createDataFrame([(50, 0.5, 0.6, False), (49, 0.5, 0.9, False), (99, 0.5, 0.55, None), (99, 0.5, 0.9, True), (99, None, 0.9, False)], "n int, a double, b double, closed boolean")
+    got = df.select(verification.ready_to_promote(F.col("n"), F.col("a"), F.col("b"), F.col("closed")).alias("r")).collect()
+    assert [r["r"] for r in got] == [True, False, False, False, False]
