@@ -218,6 +218,15 @@ def test_html(spark):
     assert wrappers.written(folded) == "(<<a>>#)+<<b>>" and "?" in wrappers.written(wrappers.align(folded, ["<b>"]))
 
 
+def test_html_of_pages_that_differ_within_a_host(spark):
+    line = "Sentence number {} of this page, which goes on for a while."
+    two = [(i, f"http://t.example/{i}", (f"<article><p>{line}</p></article>" if i % 3 else f"<div class=entry><p>{line}</p></div><div>same</div>").format(i)) for i in range(12)]
+    copies = [(100 + i, f"http://c.example/{i}", f"<div><p>{line}</p></div><div>same</div>".format(i if i < 3 else "x")) for i in range(300)]
+    got = {r["id"]: r["text"] for r in wrappers.texts(spark.createDataFrame([*two, *copies], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [line.format(i) for i in range(12)]
+    assert [got[100 + i] for i in (0, 1, 2, 3, 299)] == [line.format(x) for x in (0, 1, 2, "x", "x")]
+
+
 def test_wrappers_in_a_join_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.x/{i}", f"<nav>n</nav><p>Text number {i} is here for all to read.</p>") for i in range(30)], "page_id long, url string, html string")
     one = sorted(map(tuple, wrappers.texts(df).collect()))
