@@ -218,6 +218,33 @@ def test_html(spark):
     assert wrappers.written(folded) == "(<<a>>#)+<<b>>" and "?" in wrappers.written(wrappers.align(folded, ["<b>"]))
 
 
+def test_html_of_slots_with_the_same_path(spark, monkeypatch):
+    line = "Sentence number {} of this page, which goes on for a while."
+    # Slots of the same path: one varies, one is the same on all pages, one holds a link; a part that some pages leave out.
+    page = "<body><div>" + line + "</div>{}<hr><div>The same line on all.</div><table></table><div><a href=a>Another page of the site {}</a></div></body>"
+    pages = [(i, f"http://s.example/{i}", page.format(i, "<h4>The same line where it is.</h4>" if i % 2 else "", i)) for i in range(40)]
+    pages += [(100, "http://s.example/z", "<body><table><tr><td>A page of another form, which is not in the sample.</td></tr></table></body>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for hosts in (wrappers.BROADCAST_HOSTS, 0):
+        monkeypatch.setattr(wrappers, "BROADCAST_HOSTS", hosts)
+        got = {r["id"]: r["text"] for r in wrappers.texts(df).collect()}
+        assert {i: got[i] for i in range(40)} == {i: line.format(i) for i in range(40)}
+        assert got[100] == "A page of another form, which is not in the sample."
+
+
+def test_matching_against_regular_expressions():
+    rng = random.Random(3)
+    for _ in range(300):
+        nodes = [x if k < 2 else ("+", (x, y)) if k == 2 else ("?", (x, ("+", (y,)))) for k, x, y in ((rng.randrange(4), rng.choice("ab#"), rng.choice("abc")) for _ in range(4))]
+        form = "".join(n if isinstance(n, str) else f"({''.join(n[1])})+" if n[0] == "+" else f"{n[1][0]}?({n[1][1][1][0]}+)?" for n in nodes)
+        wrapper = wrappers.Wrapper(nodes)
+        for _ in range(20):
+            stream = [rng.choice("ab#c") for _ in range(rng.randint(0, 7))]
+            places = wrapper.match(stream)
+            assert (places is not None) == bool(re.fullmatch(form, "".join(stream)))
+            assert places is None or [wrapper.tokens[p] for p in places] == stream
+
+
 def test_html_of_pages_that_differ_within_a_host(spark):
     line = "Sentence number {} of this page, which goes on for a while."
     two = [(i, f"http://t.example/{i}", (f"<article><p>{line}</p></article>" if i % 3 else f"<div class=entry><p>{line}</p></div><div>same</div>").format(i)) for i in range(12)]
