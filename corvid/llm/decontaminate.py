@@ -9,7 +9,8 @@ Benchmarks are taken to be small, but that is checked: beyond ``SHARD_BYTES`` of
 several automata by hash, and a chain of passes scans the texts once for each, so that no worker holds more.
 
 Defined results: a null or empty text, or one without words, has no windows and no hits; items without words have no
-window; items that repeat a window are all counted; repeated rows are judged alike; empty tables give no hits or no rows;
+window; items that repeat a window are all counted; an item without id is searched for like any other, and all such items
+together are one null among a text's items, counted but without a name in their hash; repeated rows are judged alike; empty tables give no hits or no rows;
 columns besides the named ones are not read by ``hits`` and are passed on unchanged by ``clean``.
 """
 
@@ -41,26 +42,31 @@ def words(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(_NORMAL).split()
 
 
-def windows(items: list[tuple], size: int = SIZE) -> dict[str, list[str]]:
+def ordered(items: set[str | None]) -> list[str | None]:
+    """Sorted, the null last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def windows(items: list[tuple], size: int = SIZE) -> dict[str, list[str | None]]:
     """Window (with a space at both ends) to the ids of the items that have it."""
-    found: dict[str, set[str]] = defaultdict(set)
+    found: dict[str, set[str | None]] = defaultdict(set)
     for item, text in items:
         w = words(text.encode() if text is not None else None)
         for i in range(max(1, len(w) - size + 1) if w else 0):
-            found[f" {b' '.join(w[i : i + size]).decode('latin-1')} "].add(str(item))
-    return {k: sorted(v) for k, v in found.items()}
+            found[f" {b' '.join(w[i : i + size]).decode('latin-1')} "].add(None if item is None else str(item))
+    return {k: ordered(v) for k, v in found.items()}
 
 
 class Scanner:
     """The automaton; made from the windows where it is first used, since it doesn't travel well."""
 
-    def __init__(self, found: dict[str, list[str]]):
+    def __init__(self, found: dict[str, list[str | None]]):
         self.found, self.automaton = found, None
 
     def __getstate__(self):
         return {"found": self.found, "automaton": None}
 
-    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans [first word, last word + 1) of the windows that occur, and the items that have them."""
         if self.automaton is None and self.found:
             self.automaton = ahocorasick.Automaton()
@@ -79,10 +85,10 @@ class Scanner:
 
 
 def scanners(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> list[Scanner]:
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null")
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / SHARD_BYTES))
-    return [Scanner(windows([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()], size)) for k in range(n)]
+    return [Scanner(windows([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], size)) for k in range(n)]
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,7 +124,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 for data, ws, items in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
                     w = words(data)
                     spans, own = held.value.scan(w)
-                    found.append((covered([*zip(ws[::2], ws[1::2]), *spans]), sorted({*items, *own})))
+                    found.append((covered([*zip(ws[::2], ws[1::2]), *spans]), ordered({*items, *own})))
                     n_words.append(len(w))
                 items = pa.array([x[1] for x in found], pa.list_(pa.string()))
                 if not last:

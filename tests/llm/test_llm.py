@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import hashlib
 import math
 import random
 import re
@@ -290,6 +291,19 @@ def test_decontamination_against_brute_force(spark, monkeypatch, shard):
     assert decontaminate.hits(empty(spark), bench).count() == 0 and decontaminate.hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("shard", [32 << 20, 20])
+def test_decontamination_finds_items_without_id(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    bench = spark.createDataFrame([(None, "held out words"), (None, "more words"), (1, "held out words"), (2, "other")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a Held, out words"), (2, "more words b"), (3, "nothing here"), (4, "other")], "doc_id long, text string")
+    found = decontaminate.hits(docs, bench).withColumn("sha", decontaminate.items_sha256(F.col("items")))
+    got = {r["id"]: (r["n_hit"], r["items"]) for r in found.collect()}
+    assert got == {1: (3, ["1", None]), 2: (2, [None]), 3: (0, []), 4: (1, ["2"])}
+    sha = {r["id"]: r["sha"] for r in found.collect()}
+    assert sha[2] == sha[3] == hashlib.sha256(b"").hexdigest() and sha[1] == hashlib.sha256(b"1").hexdigest()
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilething", "vilestuff", "vileness"]
