@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,13 @@ EXTENSIONS = {"md": "text/markdown", "html": "text/html", "txt": "text/plain", "
 MAGIC = {"25504446": "application/pdf", "89504E47": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "1F8B": "application/gzip", "504B0304": "application/zip"}
 #: Speakers whose lines are dropped before enrichment.
 SPEAKERS = "system|human|assistant|user"
+#: Lines that hold one of these are dropped before enrichment.
+INJECTIONS = (
+    "ignore previous instructions", "ignore all previous", "disregard previous", "forget your instructions", "new instructions:", "system prompt:", "you are now", "act as if",
+    "<|system|>", "<|user|>", "<|assistant|>", "###instruction", "[inst]", "[/inst]",
+)
+#: Files that tell what a ZIP archive is, the first that it has.
+ARCHIVES = {"META-INF/container.xml": "application/epub+zip", "[Content_Types].xml": "application/vnd.openxmlformats"}
 
 
 def scheme(uri: Column) -> Column:
@@ -27,11 +39,23 @@ def mime_by_name(uri: Column) -> Column:
     return out
 
 
+def archive_kind(content: bytes | None) -> str | None:
+    """What a ZIP archive holds by the names in its directory; one that cannot be read is application/zip."""
+    if content is None:
+        return None
+    try:
+        names = set(zipfile.ZipFile(io.BytesIO(content)).namelist())
+    except Exception:  # whatever is wrong with the archive
+        names = set()
+    return next((kind for name, kind in ARCHIVES.items() if name in names), "application/zip")
+
+
 def sniff(content: Column, hint: Column) -> Column:
-    """First bytes win over the hint; without either it is application/octet-stream."""
+    """First bytes win over the hint, and ZIP archives are told apart by their files; without either it is application/octet-stream."""
     head, out = F.hex(F.substring(content, 1, 8)), F.coalesce(hint, F.lit("application/octet-stream"))
     for k, v in MAGIC.items():
-        out = F.when(head.startswith(k), v).otherwise(out)
+        found = F.udf(archive_kind, "string", useArrow=False)(F.when(head.startswith(k), content)) if v == "application/zip" else F.lit(v)  # other content stays in the JVM
+        out = F.when(head.startswith(k), found).otherwise(out)
     return out
 
 
@@ -39,10 +63,13 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def sanitised(text: Column, patterns: list[str]) -> Column:
-    """Without lines of speakers and lines that hold one of the patterns."""
-    bad = "|".join(patterns)
-    lines = F.filter(F.split(text, "\n"), lambda x: ~F.lower(F.trim(x)).rlike(f"^({SPEAKERS}):") & ~F.lower(x).rlike(bad or "(?!)"))
+def sanitised(text: Column, patterns: Sequence[str] = INJECTIONS) -> Column:
+    """Without lines of speakers and lines that hold one of the patterns, which are taken literally, in any case."""
+
+    def kept(line: Column) -> Column:
+        return reduce(lambda c, p: c & ~F.contains(F.lower(line), F.lit(p.lower())), patterns, ~F.lower(F.trim(line)).rlike(f"^({SPEAKERS}):"))
+
+    lines = F.filter(F.split(text, "\n"), kept)
     return F.trim(F.array_join(lines, "\n"))
 
 
