@@ -200,7 +200,7 @@ def render_xml(spark, sf):
 
 
 def citation_refs(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("["), F.lit("P"), F.col("doc_id") % 7, F.lit(", S2] "), F.substring("text", 1, 20), F.lit(" [P1]")).alias("answer"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("["), F.lit("P"), F.col("doc_id") % 7, F.lit(", S2] "), F.col("text"), F.lit(" [P1]")).alias("answer"))
     p = d.select("answer_id", F.explode(F.array(F.lit("P1"), F.lit("P3"))).alias("ref"))
     return verification.citations(d, p).select("answer_id", F.array_join("known", ",").alias("known"), F.array_join("unknown", ",").alias("unknown"))
 

@@ -127,6 +127,13 @@ def test_archives_are_told_apart(spark):
     assert got == ["application/epub+zip", "application/vnd.openxmlformats", "application/zip", "application/zip", "application/pdf", "text/plain", "text/plain"]
 
 
+def test_citations_query_reads_whole_texts(spark, tmp_path):
+    from corvid.plans import registry
+
+    spark.createDataFrame([(0, "x" * 50 + " as shown [P3, S9]."), (3, "none here")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(registry.citation_refs(spark, str(tmp_path))) == [(0, "P3,P1", "P0,S2,S9"), (3, "P3,P1", "S2")]
+
+
 def test_versions(spark):
     v = spark.createDataFrame([("d", 1, "h1", "active"), ("e", 1, "x", "active")], "document_id string, version_num int, content_hash string, status string").withColumn("at", F.current_timestamp())
     new = spark.createDataFrame([("d", "h2"), ("e", "x"), ("f", "y")], "document_id string, content_hash string").withColumn("at", F.current_timestamp())
