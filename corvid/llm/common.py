@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +17,8 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of one Arrow batch that a Python worker holds.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch that a Python worker holds; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +26,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, a local session
+    gets a temporary one; on a cluster that is an error, since each machine would write to a disk of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not found:
-        found = tempfile.mkdtemp(prefix="corvid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="corvid-")
+        atexit.register(shutil.rmtree, found, True)
     return found
 
 
+_own: dict[str, str] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` from files in the shared folder, so that no earlier stage has to run again when an executor goes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvid/{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver's process ends."""
+    found = f"{shared_dir(spark).rstrip('/')}/corvid-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return found
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -60,6 +77,9 @@ def as_bytes(column: pa.Array) -> list:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes. Both are settings of the session, which
+    has no narrower place for them; they bound memory and change no result."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)

@@ -70,7 +70,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted with their words as a first count, then revised to token counts; each batch is sent
     twice, and the second time changes nothing."""
     docs = read(spark, sf_dir, "documents")
-    rollup = token_rollup.Rollup(spark, f"{common.shared_dir(spark)}/corvid/rollup-{uuid.uuid4().hex}")
+    rollup = token_rollup.Rollup(spark, f"{common.folder(spark)}/rollup-{uuid.uuid4().hex}")
     words = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit("ascii_words").alias("tokenizer_version"), F.size(common.words_of(F.col("text"))).cast("long").alias("n_tokens"))
     counted = token_rollup.token_counts(docs)
     revised = counted.withColumns({"old_version": F.lit("ascii_words"), "old_tokens": F.col("n_words")})

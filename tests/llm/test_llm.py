@@ -72,14 +72,14 @@ def test_simhash_against_brute_force(spark):
     comp = brute_components(fps)
     ids = {c: min((rows[i]["doc_id"] for i in range(len(rows)) if comp[i] == c and rows[i]["doc_id"] is not None), default=None) for c in comp}
     assert got == {(r["doc_id"], f, ids[c]) for r, f, c in zip(rows, fps, comp)}
-    clash = documents(spark).withColumnsRenamed({"lang": "fp", "source": "_row"})
-    kept = simhash.keep_one(clash)
-    assert kept.columns == clash.columns and kept.count() == len(set(comp))
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_links_of_clusters_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 16)
+@pytest.mark.parametrize("edges", [0, 1 << 20])
+@pytest.mark.parametrize("batch", [7, 1 << 16])
+def test_links_of_clusters_in_tiles(spark, monkeypatch, edges, batch):
+    for name, value in (("TILE", 16), ("EDGES", edges), ("BATCH", batch), ("PAIRS", 8 * batch)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(1)
     fps = set()
     for _ in range(6):
@@ -88,8 +88,8 @@ def test_links_of_clusters_in_tiles(spark, monkeypatch):
             fps.add(x)
             x ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)  # chains of up to two bits
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
-    got = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(simhash.links(df)).collect()}
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) * 2 for f in fps], "fp long, node long")
+    got = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(simhash.links(simhash.blocks_of(df, 2), 2)).collect()}
     comp = brute_components(fps)
     for i, f in enumerate(fps):  # a root has no row of its own
         assert {got.get(g, g) for g, c in zip(fps, comp) if c == comp[i]} == {got.get(f, f)}
@@ -98,9 +98,60 @@ def test_links_of_clusters_in_tiles(spark, monkeypatch):
 
 def test_bit_planes():
     rng = np.random.default_rng(0)
-    for radius in (0, 1, 2, 3, 5):
-        x = np.concatenate(([0, 1, 3, 7, 2**64 - 1], rng.integers(0, 2**64, 300, np.uint64) & rng.integers(0, 64, 300, np.uint64))).astype(np.uint64)
-        assert simhash.within(x, radius).tolist() == [int(v).bit_count() <= radius for v in x]
+    fps = np.concatenate((np.array([0, 1, 3, 7, 2**64 - 1], np.uint64), rng.integers(0, 2**64, 3000, np.uint64) & rng.integers(0, 64, 3000, np.uint64), rng.integers(0, 2**64, 900, np.uint64)))
+    planes = simhash.Planes(fps.view(np.int64))
+    for radius in (0, 1, 2, 3, 5, 20):
+        for d in (1, 2, 63, 64, 65, 700, len(fps) - 1):
+            active = rng.random(len(fps) - d) < 0.7
+            want = [i for i in np.flatnonzero(active).tolist() if int(fps[i] ^ fps[i + d]).bit_count() <= radius]
+            assert planes.near(d, active, radius).tolist() == want
+
+
+def test_forests_connect_what_links_connect_by_least_distances():
+    rng = random.Random(4)
+    for _ in range(30):
+        fps = np.array([rng.getrandbits(6) for _ in range(40)], np.int64)
+        group, side = np.sort(np.array([rng.randrange(3) for _ in fps])), np.array([rng.randrange(2) for _ in fps]) if rng.random() < 0.5 else np.full(40, 2)
+        lo, hi = simhash.forest(group, side, fps, 2)
+        near = [(int(fps[i] ^ fps[j]).bit_count(), i, j) for i in range(40) for j in range(i + 1, 40) if group[i] == group[j] and (side[i] == 2 or side[i] != side[j]) and int(fps[i] ^ fps[j]).bit_count() <= 2]
+        root, least = list(range(40)), 0
+        for x, i, j in sorted(near):  # Kruskal
+            if root[i] != root[j]:
+                least += x
+                root = [root[i] if r == root[j] else r for r in root]
+        assert len(lo) == 40 - len(set(root)) and sum(int(fps[i] ^ fps[j]).bit_count() for i, j in zip(lo, hi)) == least
+
+
+def test_similar_texts_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(0, None), (1, ""), (2, "  "), (3, "one two"), (3, "One  two"), (4, "one two three four five"), (None, "one two")]
+    for _ in range(30):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(30, 400))]
+        for _ in range(rng.randint(1, 5)):
+            rows.append((rng.randrange(1000), " ".join(words)))
+            words = list(words)
+            for _ in range(rng.choice((0, 1, 2, 6))):  # some within the similarity, some beyond it
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    sets = []
+    for _, t in rows:
+        w = lower(t).split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add((2**63 if rows[i][0] is None else rows[i][0], i))
+    got = {r["n"]: r["first"] for r in simhash.similar(df, "n").collect()}
+    assert got == {i: min(members)[1] for members in want.values() for _, i in members} and len(want) > 40
+    kept = simhash.keep_one(df.withColumnRenamed("n", "_row").repartition(3))
+    assert kept.columns == ["doc_id", "text", "_row"] and {r["_row"] for r in kept.collect()} >= {min(m)[1] for m in want.values() if len(m) == 1} and kept.count() == len(want)
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
 def test_language_model(spark):
