@@ -14,17 +14,41 @@ from corvid.functions.scalar import trim_unicode
 SCHEMA = "doc_id long, pos int, start long, end long, text string"
 
 
+#: Blocks that one piece of a text holds: offsets are summed within a piece and over pieces, never over a whole text at once.
+PIECE = 256
+
+
 def fixed(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
-    """Windows of ``size`` characters, each trimmed; the first that reaches the end is the last. Pure expressions."""
+    """Windows of ``size`` characters, each trimmed; the first that reaches the end is the last. Pure expressions.
+
+    The text is cut once into blocks of ``size - overlap`` characters; a window is a block and the characters after it, and
+    its offset the sum of the bytes of the blocks before, so a text costs time in proportion to its length. A null or empty
+    text has no chunk; repeated rows have theirs each; other columns are not read."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("chunk size must be positive and larger than the overlap")
     step = size - overlap
-    last = F.ceil(F.greatest(F.length("text") - size, F.lit(0)) / step).cast("int")
-    w = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    w = w.withColumn("raw", F.substring(F.col("text"), F.col("pos") * step + 1, F.lit(size)))
+    cut = lambda text, n: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+    ahead = lambda parts, i, n, wide: F.substring(F.array_join(F.slice(parts, i + 2, -(-n // wide)), ""), 1, n)  # noqa: E731  the n characters after part i
+    wide, none = step * PIECE, F.array().cast("array<struct<piece:string,ahead:string,at:bigint,pos:int>>")
+    state = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    numbered = F.transform(F.col("pieces"), lambda p, i: F.struct(p.alias("piece"), ahead(F.col("pieces"), i, size, wide).alias("ahead"), (i * PIECE).cast("int").alias("pos")))
+    summed = F.aggregate(
+        numbered,
+        state,
+        lambda s, x: F.struct((s["at"] + F.octet_length(x["piece"])).alias("at"), F.concat(s["out"], F.array(F.struct(x["piece"].alias("piece"), x["ahead"].alias("ahead"), s["at"].alias("at"), x["pos"].alias("pos")))).alias("out")),
+    )["out"]
+    w = docs.select("doc_id", cut(F.col("text"), wide).alias("pieces")).select("doc_id", F.inline(summed))
+    w = w.withColumn("blocks", cut(F.concat("piece", "ahead"), step)).withColumn("own", F.ceil(F.length("piece") / step).cast("int"))
+    w = w.withColumn("sizes", F.transform("blocks", lambda b: F.octet_length(b)))
+    row = lambda b, j: F.struct(
+        (F.col("pos") + j).alias("pos"),
+        (F.col("at") + F.aggregate(F.slice("sizes", 1, j), F.lit(0).cast("long"), lambda s, x: s + x)).alias("at"),
+        F.substring(F.array_join(F.slice("blocks", j + 1, -(-size // step)), ""), 1, size).alias("raw"),
+    )
+    w = w.select("doc_id", F.inline(F.transform(F.slice("blocks", 1, F.col("own")), row)))
+    w = w.where((F.col("pos") == 0) | (F.length("raw") > overlap))  # else the window before reached the end
     w = w.withColumn("cut", trim_unicode(F.col("raw"))).where("cut <> ''")
-    lead = F.octet_length("raw") - F.octet_length(F.regexp_replace("raw", r"^\p{IsWhite_Space}+", ""))
-    start = (F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("pos") * step)) + lead).cast("long")
+    start = F.col("at") + F.octet_length("raw") - F.octet_length(trim_unicode(F.col("raw"), "left"))
     return w.select("doc_id", "pos", start.alias("start"), (start + F.octet_length("cut")).alias("end"), F.col("cut").alias("text"))
 
 
@@ -138,6 +162,23 @@ def chunk(docs: DataFrame, strategy: str, **params: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+#: The lines that each cut documents by themselves.
+BACKENDS = ("vector", "lexical", "graph", "tree")
+
+
+def by_backend(docs: DataFrame, configs: dict[str, tuple[str, dict[str, int]] | None]) -> DataFrame:
+    """Chunks of each backend by its own (strategy, parameters), with ``backend``; one without takes that of the vectors."""
+    unknown = set(configs) - set(BACKENDS)
+    if unknown:
+        raise ValueError(f"unknown backend: {', '.join(sorted(unknown))}")
+    out = None
+    for backend, config in configs.items():
+        strategy, params = config or configs.get("vector") or ("fixed", {})
+        one = chunk(docs, strategy, **params).withColumn("backend", F.lit(backend))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def inspect(chunks: DataFrame) -> DataFrame:
     """Per chunk: characters, estimated tokens, overlap in bytes with the chunk before it."""
     from pyspark.sql import Window

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.operators.stores import chunk_id
+
+#: The confidence of an extracted relation, and the seeds of a query that names none.
+CONFIDENCE, SEEDS = 0.9, 100
+_EXTRACTED = "entities array<struct<name:string,entity_type:string>>, relations array<struct<source:string,relation:string,target:string>>"
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
     """(query_id, node, hops): smallest number of undirected edges (src, dst) from a query's seeds (query_id, node).
@@ -36,3 +42,77 @@ def cascade(relations: DataFrame, gone: DataFrame) -> DataFrame:
     """Relations without those that touch a removed node."""
     g = gone.select("node").distinct()
     return relations.join(g.withColumnRenamed("node", "source"), "source", "left_anti").join(g.withColumnRenamed("node", "target"), "target", "left_anti")
+
+
+def extracted(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """replies (collection_id, source_uri, chunk, json) to entities (node, name, entity_type, chunk, source_uri, collection_id) and
+    relations (source, relation_type, target, confidence, chunk). Entities of one name and chunk are one; a relation stays if
+    both its names are entities of the same chunk; bad JSON has neither."""
+    got = replies.select("collection_id", "source_uri", "chunk", F.from_json("json", _EXTRACTED).alias("j"))
+    node = lambda name: chunk_id(F.col("collection_id"), F.col("chunk"), name)
+    named = got.select("collection_id", "source_uri", "chunk", F.inline("j.entities")).where("name is not null").dropDuplicates(["collection_id", "chunk", "name"])
+    entities = named.select(node(F.col("name")).alias("node"), "name", "entity_type", "chunk", "source_uri", "collection_id")
+    names = F.transform("j.entities", lambda e: e["name"])
+    pairs = got.select("collection_id", "chunk", names.alias("names"), F.inline("j.relations")).where(F.array_contains("names", F.col("source")) & F.array_contains("names", F.col("target")))
+    relations = pairs.select(node(F.col("source")).alias("source"), F.col("relation").alias("relation_type"), node(F.col("target")).alias("target"), F.lit(CONFIDENCE).alias("confidence"), "chunk")
+    return entities, relations
+
+
+def planned_seeds(replies: DataFrame) -> DataFrame:
+    """(query_id, name) of the entities that a planner's JSON names; bad JSON names none."""
+    got = F.from_json("json", _EXTRACTED)["entities"]
+    return replies.select("query_id", F.explode(F.transform(got, lambda e: e["name"])).alias("name")).where("name is not null").distinct()
+
+
+def seeds(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (query_id, name, entity_type): the entities (query_id, node) whose name holds the asked one, case and all, and whose
+    type is the asked one; a query that asks for neither gets the first ``SEEDS`` by name."""
+    free = asked.where("name is null and entity_type is null").select("query_id")
+    named = asked.where("name is not null or entity_type is not null")
+    e = entities.select("node", F.col("name").alias("own"), F.col("entity_type").alias("own_type"))
+    fits = (F.col("name").isNull() | F.contains("own", "name")) & (F.col("entity_type").isNull() | (F.col("own_type") == F.col("entity_type")))
+    hits = named.join(e, fits).select("query_id", "node")  # a stated set of queries against all names
+    first = e.orderBy("own", "node").limit(SEEDS).select("node")
+    return hits.unionByName(free.crossJoin(first)).distinct()
+
+
+def in_scope(relations: DataFrame, entities: DataFrame, collection_id: str, types: list[str] | None = None) -> DataFrame:
+    """Relations with both ends in a collection and, if given, of the types."""
+    own = entities.where(F.col("collection_id") == collection_id).select("node").distinct()
+    out = relations.where(F.col("relation_type").isin(types)) if types else relations
+    for end in ("source", "target"):
+        out = out.join(own.withColumnRenamed("node", end), end, "left_semi")
+    return out
+
+
+def outgoing(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    return relations.join(nodes.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+
+
+def merge_entities(entities: DataFrame) -> DataFrame:
+    """One row a node: name and type of the last chunk, all its chunks in order."""
+    last = F.max_by(F.struct("name", "entity_type"), "chunk")
+    return entities.groupBy("node").agg(last.alias("l"), F.array_sort(F.collect_set("chunk")).alias("chunks")).select("node", "l.*", "chunks")
+
+
+def ordered(reached: DataFrame, entities: DataFrame) -> DataFrame:
+    """Reached nodes (query_id, node, hops) with their place by hops, then name."""
+    met = reached.join(entities.select("node", "name"), "node")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("hops", "name", "node")))
+
+
+def ranked_chunks(reached: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """The best k chunks of each query by hop decay, of equal ones the first by name."""
+    from corvid.operators.retrieval import top
+
+    return top(hop_decay(reached, sources), k, F.desc("score"), "chunk")
+
+
+def view(entities: DataFrame, relations: DataFrame, n: int = SEEDS) -> tuple[DataFrame, DataFrame]:
+    """The first n entities by name, and the relations that go out of them."""
+    nodes = entities.orderBy("name", "node").limit(n)
+    return nodes, outgoing(relations, nodes)
+
+
+def neighbours(relations: DataFrame, node: Column) -> DataFrame:
+    return relations.where(F.col("source") == node)

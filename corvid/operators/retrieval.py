@@ -16,22 +16,34 @@ def top(df: DataFrame, k: int, *order: Column | str, by: str = "query_id") -> Da
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """chunks (doc_id, pos, text), queries (query_id, text). Terms are OR-ed; statistics are those of all chunks.
+def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, pos, dl, terms: of each chunk (doc_id, pos, text) its occurrences of ``terms`` (term), its length in all.
 
-    Only occurrences of query terms are shuffled; which side of the term join is broadcast is left to size statistics."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = q.select("term").distinct()
+    One shuffle by chunk, of occurrences already gathered by task; all that follows for a chunk stays where it is."""
     t = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("ts"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    hits = t.select("doc_id", "pos", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(terms, "term")
-    tf = hits.groupBy("term", "doc_id", "pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").join(F.broadcast(stats))  # one row
+    # An outer explode: an inner one would have its input filtered by size first, and texts cut into terms once more for it.
+    hits = t.select("doc_id", "pos", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).join(terms, "term")
+    return hits.groupBy("doc_id", "pos", "dl").agg(F.collect_list("term").alias("terms"))  # at most the terms of one chunk
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """chunks (doc_id, pos, text), queries (query_id, text). Terms are OR-ed; statistics are those of all chunks, hits those of
+    ``scope`` (doc_id, pos) if it is given.
+
+    Chunks are dealt out once, by chunk: counts of terms, scores and the best k of a task need no further shuffle, so what
+    travels after that is a row for each term and task, and k rows for each query and task, however many chunks a frequent
+    term is in. Which side of the joins with terms is broadcast is left to size statistics."""
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    held = postings(chunks, q.select("term").distinct())
+    stats = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = scored.withColumn("s", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    found = scored.join(q, "term").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top(found, k, F.desc("score"), "doc_id", "pos")
+    weights = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")  # stats: one row
+    held = held if scope is None else held.join(scope.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+    tf = held.select("doc_id", "pos", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = tf.join(weights, "term").groupBy("query_id", "doc_id", "pos", "dl").agg(F.round(F.sum(s), 6).alias("score"))
+    return top(found.select("query_id", "doc_id", "pos", "score"), k, F.desc("score"), "doc_id", "pos")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -106,16 +118,35 @@ def overlap_hits(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """ranked (query_id, item, rank), relevant (query_id, item): hit rate, MRR, NDCG, precision, recall at k."""
-    size = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    r = ranked.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "item"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    here = F.when((F.col("rank") <= k) & (F.col("rel") == 1), 1)
+    """ranked (query_id, item, rank), relevant (query_id, item): hit rate, MRR, NDCG, precision, recall at k of each query that
+    either table has. MRR has no cutoff; an item returned again counts again for NDCG and once for precision and recall; a
+    query without relevant items has recall 1 and the rest 0, one without results has 0 for all it has relevant items for."""
+    wanted = relevant.select("query_id", "item").distinct()
+    size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
+    r = ranked.join(wanted.withColumn("rel", F.lit(1)), ["query_id", "item"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    here = (F.col("rank") <= k) & (F.col("rel") == 1)
     per = r.groupBy("query_id").agg(
-        F.coalesce(F.max(here), F.lit(0)).alias("hit"),
+        F.max(F.when(here, 1).otherwise(0)).alias("hit"),
         F.coalesce(1 / F.min(F.when(F.col("rel") == 1, F.col("rank"))), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.sum(F.when(here == 1, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
-        F.coalesce(F.sum(here), F.lit(0)).alias("found"),
+        F.coalesce(F.sum(F.when(here, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
+        F.countDistinct(F.when(here, F.col("item"))).alias("found"),
         F.least(F.lit(k), F.count(F.lit(1))).alias("shown"),
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_rel")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    return per.join(size, "query_id").select("query_id", "hit", F.round("mrr", 6).alias("mrr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"), F.round(F.col("found") / F.col("shown"), 6).alias("precision"), F.round(F.col("found") / F.col("n_rel"), 6).alias("recall"))
+    both = per.join(size, "query_id", "full_outer").na.fill(0, ["hit", "mrr", "dcg", "found", "shown", "n_rel"])
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_rel"))).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    share = lambda x, n, none: F.when(n > 0, F.round(x / F.greatest(n, F.lit(1)), 6)).otherwise(F.lit(none))
+    return both.select("query_id", "hit", F.round("mrr", 6).alias("mrr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"), share(F.col("found"), F.col("shown"), 0.0).alias("precision"), share(F.col("found"), F.col("n_rel"), 1.0).alias("recall"))
+
+
+def report(per_query: DataFrame) -> DataFrame:
+    """Means of the metrics over all queries and their number; no query: a row of nulls and 0."""
+    return per_query.agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(c), 6).alias(c) for c in ("hit", "mrr", "ndcg", "precision", "recall")))
+
+
+def golden(ranked: DataFrame, versions: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+    """Evaluation by documents: ranked (query_id, doc_id, version, rank) to the latest version of each document, distinct
+    documents in order of first rank, against relevant (query_id, doc_id)."""
+    last = versions.groupBy("doc_id").agg(F.max("version").alias("version"))
+    first = ranked.join(last, ["doc_id", "version"]).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
+    return metrics(first.select("query_id", F.col("doc_id").alias("item"), F.row_number().over(w).alias("rank")), relevant.select("query_id", F.col("doc_id").alias("item")), k)

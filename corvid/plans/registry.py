@@ -133,14 +133,17 @@ def classify_queries(spark, sf):
 
 
 def _edges(spark, sf):
+    """Customers, nations, regions, suppliers, orders and parts."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    l = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"))
-    return c.union(n).union(s)
+    return c.union(n).union(s).union(o).union(l)
 
 
 def graph_bfs(spark, sf):
-    seeds = table(spark, sf, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    seeds = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
     return graph.bfs(_edges(spark, sf), seeds, 2)
 
 
@@ -158,10 +161,6 @@ def mime_types(spark, sf):
     return p.select("page_id", sources.scheme(F.col("url")).alias("scheme"), sources.mime_by_name(F.regexp_replace("url", "[?#].*$", "")).alias("mime_type"))
 
 
-def sanitise_pages(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(sources.sanitised(F.col("text"), ["ignore previous", "licensed under"]), 256).alias("clean_hash"))
-
-
 def conversation_history(spark, sf):
     return context.histories(table(spark, sf, "conversations"))
 
@@ -275,9 +274,10 @@ _TREE = """x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM emb
   p2 AS (SELECT i, avg(m) AS m FROM p1 GROUP BY i),
   n2 AS (SELECT 'root' AS node, 2 AS level, count(*) AS n_children, CAST(sum(n_leaves) AS BIGINT) AS n_leaves, min(leaf) AS leaf, count(*) || ' chunks clustered at level 2' AS summary, (SELECT list(m ORDER BY i) FROM p2) AS v FROM n1),
   n AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2)"""
-_GRAPH = """e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+_GRAPH = """e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+    UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem),
   e AS (SELECT DISTINCT * FROM (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0)),
-  h0 AS (SELECT s_suppkey AS query_id, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 5),
+  h0 AS (SELECT s_suppkey AS query_id, 's' || s_suppkey AS node FROM supplier),
   h1 AS (SELECT query_id, b AS node FROM h0 JOIN e ON node = a), h2 AS (SELECT query_id, b AS node FROM h1 JOIN e ON node = a),
   g AS (SELECT query_id, node, min(h) AS hops FROM (SELECT *, 0 AS h FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL)"""
 _VERSIONS = """v AS (SELECT o_custkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_num, o_orderdate AS "at", CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'superseded' ELSE 'deleted' END AS status FROM orders)"""
@@ -286,7 +286,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_fixed_top10, chunk_fixed, chunk_inspect, chunk_sizes, knn_cosine_top10, knn_l2_top10, late_interaction_top5, distinct_hits, tree_levels, tree_search_top10, experiment_ready, retrieval_metrics, rrf_fusion, weighted_fusion, overlap_retrieval, classify_queries, graph_bfs, graph_hop_decay,
-        document_dedup, mime_types, sanitise_pages, conversation_history, context_rrf, merge_passages, cluster_passages, pack_budget, render_xml, citation_refs, verdict_counts, versions_latest, retention_gc, source_counts, rate_limits, circuit_breaker, provider_stats,
+        document_dedup, mime_types, conversation_history, context_rrf, merge_passages, cluster_passages, pack_budget, render_xml, citation_refs, verdict_counts, versions_latest, retention_gc, source_counts, rate_limits, circuit_breaker, provider_stats,
     )
 } | {f"chunk_{n}": _chunker(n) for n in chunking.STRATEGIES}
 
@@ -330,7 +330,6 @@ ORACLES = {
     "graph_hop_decay": f"WITH {_GRAPH} SELECT query_id, c_mktsegment AS chunk, round(sum(1.0 / (1 + hops)), 6) AS score FROM g JOIN customer ON node = 'c' || c_custkey GROUP BY ALL",
     "document_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n_rows FROM documents GROUP BY 1",
     "mime_types": "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'http' ELSE 'file' END AS scheme, CASE WHEN ends_with(regexp_replace(url, '[?#].*$', ''), '.html') THEN 'text/html' ELSE 'application/octet-stream' END AS mime_type FROM pages",
-    "sanitise_pages": """SELECT doc_id, sha256(trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^(system|human|assistant|user):') AND NOT regexp_matches(lower(x), 'ignore previous|licensed under')), chr(10)))) AS clean_hash FROM documents""",
     "conversation_history": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant'))
         SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substring(text, 1, 2000), chr(10) ORDER BY turn) AS history, arg_max(text, CASE WHEN role = 'user' THEN turn END) AS question, count(*) AS n_messages FROM t WHERE back <= 6 GROUP BY conv_id""",
     "context_rrf": f"""WITH {_BM25}{_OVER}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY score DESC, doc_id, chunk) AS r FROM hits)
@@ -340,8 +339,10 @@ ORACLES = {
         j AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM i)
         SELECT query_id, doc_id, min("start") AS "start", max("end") AS "end", max(score) AS score, count(*) AS n_chunks FROM j GROUP BY query_id, doc_id, island""",
     "render_xml": """SELECT doc_id, sha256('<passage id="P1" source="doc://' || doc_id || '">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</passage>') AS rendered FROM documents""",
-    "citation_refs": """WITH a AS (SELECT doc_id, list_distinct(['P' || (doc_id % 7), 'S2', 'P1']) AS d, 'P' || (doc_id % 7) AS p FROM documents)
-        SELECT doc_id AS answer_id, CASE WHEN p = 'P3' THEN 'P3,P1' ELSE 'P1' END AS known, CASE WHEN p IN ('P1', 'P3') THEN 'S2' ELSE p || ',S2' END AS unknown FROM a""",
+    "citation_refs": """WITH a AS (SELECT doc_id, '[P' || (doc_id % 7) || ', S2] ' || text || ' [P1]' AS t FROM documents),
+        g AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(t, '\\[\\s*[PS]\\d{1,3}(?:\\s*,\\s*[PS]\\d{1,3})*\\s*\\]'), lambda x: regexp_extract_all(x, '[PS]\\d{1,3}'))) AS r FROM a),
+        d AS (SELECT doc_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS r FROM g)
+        SELECT doc_id AS answer_id, array_to_string(list_filter(r, lambda x: x IN ('P1', 'P3')), ',') AS known, array_to_string(list_filter(r, lambda x: x NOT IN ('P1', 'P3')), ',') AS unknown FROM d""",
     "verdict_counts": """WITH s AS (SELECT l_orderkey AS answer_id, l_linenumber % 4 AS c, least(l_linenumber % 4, CAST(trunc(l_quantity) AS INT) % 4) AS s, l_suppkey % 2 AS d, least(l_linenumber % 4, l_partkey % 4) AS k FROM lineitem),
         v AS (SELECT answer_id, CASE WHEN c = 0 THEN 'no_claim' WHEN s = 0 THEN 'unsupported' WHEN s < c THEN 'partial' WHEN d = 0 THEN 'uncited_supported' WHEN k = c THEN 'supported' ELSE 'miscited' END AS v FROM s)
         SELECT answer_id, count(*) FILTER (v = 'supported') AS supported, count(*) FILTER (v = 'partial') AS partial, count(*) FILTER (v = 'unsupported') AS unsupported, count(*) FILTER (v = 'miscited') AS miscited, count(*) FILTER (v = 'uncited_supported') AS uncited_supported, count(*) FILTER (v = 'no_claim') AS no_claim, count(*) FILTER (v IN ('partial', 'unsupported')) = 0 AS passes FROM v GROUP BY answer_id""",
@@ -354,11 +355,15 @@ ORACLES = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from corvid.plans import more
+
+    return QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    from corvid.plans import more
+
+    return ORACLES | more.ORACLES
 
 
 __all__ = ["FLAGSHIP", "oracle_sql", "queries"]
