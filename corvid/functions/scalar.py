@@ -42,7 +42,7 @@ def trim_unicode(x: Column, side: str = "both") -> Column:
 
 def tokens(x: Column) -> Column:
     """Lower-case ASCII alphanumeric runs."""
-    return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), "")
 
 
 def estimated_tokens(x: Column) -> Column:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.scalar import cosine, doubles, l2_similarity, tokens
+from corvid.session import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -16,34 +24,122 @@ def top(df: DataFrame, k: int, *order: Column | str, by: str = "query_id") -> Da
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, pos, dl, terms: of each chunk (doc_id, pos, text) its occurrences of ``terms`` (term), its length in all.
-
-    One shuffle by chunk, of occurrences already gathered by task; all that follows for a chunk stays where it is."""
-    t = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("ts"))
-    # An outer explode: an inner one would have its input filtered by size first, and texts cut into terms once more for it.
-    hits = t.select("doc_id", "pos", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).join(terms, "term")
-    return hits.groupBy("doc_id", "pos", "dl").agg(F.collect_list("term").alias("terms"))  # at most the terms of one chunk
+#: Pairs of a query and a term up to which queries travel to the tasks (a few dozen MB); more meet chunks in joins by term.
+CARRIED = 1_000_000
+#: Scores that a task holds at a time.
+CELLS = 1 << 21
+_TERM, _SPLIT = re.compile("[a-z0-9]+"), re.compile("[ \\t\\n\\r]+")
+
+
+def _sparse(chunks: DataFrame, q: DataFrame, cut: Callable[[str], dict[str, int] | Counter], weigh: Callable[..., np.ndarray], k: int, scope: DataFrame | None) -> DataFrame:
+    """(query_id, doc_id, pos, score), the best k of each query and task, of the sums over shared terms of ``weigh(number of chunks,
+    chunks with the term, count in the chunk, length of the chunk, mean length)``; q (query_id, term) has at most ``CARRIED`` rows.
+
+    Texts are read once: postings, a row of term numbers and counts for each chunk, are written to the shared folder. From them
+    come the terms' document counts, and then each task scores its chunks against all queries as a sparse product, so neither a
+    frequent term nor the number of pairs that share one ever meets a shuffle."""
+    spark, got = q.sparkSession, q.toArrow().combine_chunks()
+    names = got.column("query_id").combine_chunks() if got.num_rows else pa.array([], got.schema.field("query_id").type)
+    # Numbers for queries by what their ids are written as, since not all types have a dictionary.
+    _, first, of_query = np.unique(np.array(list(map(repr, names.to_pylist())), str), return_index=True, return_inverse=True)
+    query_ids = names.take(pa.array(first, pa.int64()))
+    terms, of_term = np.unique(np.array(got.column("term").to_pylist(), object), return_inverse=True)
+    order = np.argsort(of_term, kind="stable")
+    of_query, starts = of_query[order], np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+    place = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms.tolist())})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = place.value
+        for b in batches:
+            sizes, numbers, counts, ends = [], [], [], [0]
+            for text in b.column(2).to_pylist():
+                own = cut(text or "")
+                kept = [(known[t], n) for t, n in own.items() if t in known]
+                numbers += [t for t, _ in kept]
+                counts += [n for _, n in kept]
+                sizes.append(sum(own.values()))
+                ends.append(len(numbers))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (numbers, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), *lists], ["doc_id", "pos", "dl", "terms", "tfs"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.select("doc_id", "pos").schema}
+    held = written(chunks.select("doc_id", "pos", "text").mapInArrow(read, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, dl int, terms array<int>, tfs array<int>"))
+    n, length = held.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    df = np.zeros(len(terms))
+    for t, c in held.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # as many rows as queries have terms
+        df[t] = c
+    weights = spark.sparkContext.broadcast((df, of_query, starts, query_ids))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, of_query, starts, query_ids = weights.value
+        wide = max(1, CELLS // max(1, len(query_ids)))
+        for whole in batches:
+            whole = whole.take(pc.sort_indices(whole, sort_keys=[("doc_id", "ascending"), ("pos", "ascending")]))
+            for at in range(0, whole.num_rows, wide):
+                b = whole.slice(at, wide)
+                row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column(3).offsets)))
+                t, tf = np.asarray(b.column(3).flatten()), np.asarray(b.column(4).flatten()).astype(float)
+                if not len(t):
+                    continue
+                s = weigh(n, df[t], tf, np.asarray(b.column(2))[row], length)
+                each = starts[t + 1] - starts[t]
+                # Each posting to all queries that have its term: their numbers stand in one run.
+                run = np.repeat(starts[t] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
+                cells = np.bincount(of_query[run] * b.num_rows + np.repeat(row, each), np.repeat(s, each), len(query_ids) * b.num_rows).reshape(len(query_ids), b.num_rows)
+                best = _first(-np.round(cells, 6), k)
+                values = np.take_along_axis(cells, best, axis=1)
+                query, column = np.nonzero(values > 0)
+                chosen = pa.array(best[query, column])
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), b.column(0).take(chosen), b.column(1).take(chosen), pa.array(values[query, column])], ["query_id", "doc_id", "pos", "score"])
+
+    held = held if scope is None else held.join(scope.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").select(*held.columns)
+    kind = q.schema["query_id"].dataType.simpleString()
+    return held.mapInArrow(score, f"query_id {kind}, doc_id {kinds['doc_id']}, pos {kinds['pos']}, score double")
+
+
+def _first(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest of each row, of equal ones the first; there may be more of the k-th."""
+    if x.shape[1] <= 4 * k:
+        return np.argsort(x, axis=1, kind="stable")[:, :k]
+    bound = np.partition(x, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(x), k), np.int64)
+    for i in range(len(x)):
+        near = np.flatnonzero(x[i] <= bound[i])
+        out[i] = near[np.argsort(x[i][near], kind="stable")[:k]]
+    return out
+
+
+def _okapi(n, df, tf, dl, length) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / length))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """chunks (doc_id, pos, text), queries (query_id, text). Terms are OR-ed; statistics are those of all chunks, hits those of
-    ``scope`` (doc_id, pos) if it is given.
+    ``scope`` (doc_id, pos) if it is given. More than ``CARRIED`` pairs of query and term go through ``bm25_joined``, which gives
+    the same."""
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    if q.limit(CARRIED + 1).count() > CARRIED:
+        return bm25_joined(chunks, queries, k, scope)
+    found = _sparse(chunks, q, lambda text: Counter(_TERM.findall(text.lower())), _okapi, k, scope)
+    return top(found.withColumn("score", F.round("score", 6)), k, F.desc("score"), "doc_id", "pos")
+
 
-    Chunks are dealt out once, by chunk: counts of terms, scores and the best k of a task need no further shuffle, so what
-    travels after that is a row for each term and task, and k rows for each query and task, however many chunks a frequent
-    term is in. Which side of the joins with terms is broadcast is left to size statistics."""
+def bm25_joined(chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """``bm25`` for any number of queries, by joins on terms. Occurrences of query terms are dealt out once, by chunk; counts and
+    scores of a chunk need no further shuffle of their own."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    held = postings(chunks, q.select("term").distinct())
-    stats = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    t = chunks.select("doc_id", "pos", tokens(F.col("text")).alias("ts"))
+    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    # An outer explode: an inner one would have its input filtered by size first, and texts cut into terms once more for it.
+    hits = t.select("doc_id", "pos", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).join(q.select("term").distinct(), "term")
+    tf = hits.repartition("doc_id", "pos").groupBy("doc_id", "pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")  # stats: one row
-    held = held if scope is None else held.join(scope.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
-    tf = held.select("doc_id", "pos", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf if scope is None else tf.join(scope.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
     s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = tf.join(weights, "term").groupBy("query_id", "doc_id", "pos", "dl").agg(F.round(F.sum(s), 6).alias("score"))
-    return top(found.select("query_id", "doc_id", "pos", "score"), k, F.desc("score"), "doc_id", "pos")
+    found = tf.join(weights, "term").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(s), 6).alias("score"))
+    return top(found, k, F.desc("score"), "doc_id", "pos")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -110,11 +206,16 @@ def classify(text: Column) -> Column:
 
 
 def overlap_hits(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Number of distinct white-space tokens that query and chunk share, as an equi-join on the token."""
+    """Number of distinct white-space tokens that query and chunk share: as a sparse product like ``bm25``, or, beyond ``CARRIED``
+    pairs of query and token, as an equi-join on the token."""
     split = lambda c: F.explode(F.array_remove(F.array_distinct(F.split(c, r"[ \t\n\r]+")), ""))
     q = queries.select("query_id", split(F.col("text")).alias("term"))
-    c = chunks.select("doc_id", "pos", split(F.col("text")).alias("term"))
-    return top(c.join(q, "term").groupBy("query_id", "doc_id", "pos").agg(F.count(F.lit(1)).alias("score")), k, F.desc("score"), "doc_id", "pos")
+    if q.limit(CARRIED + 1).count() > CARRIED:
+        c = chunks.select("doc_id", "pos", split(F.col("text")).alias("term"))
+        found = c.join(q, "term").groupBy("query_id", "doc_id", "pos").agg(F.count(F.lit(1)).alias("score"))
+    else:
+        found = _sparse(chunks, q, lambda text: dict.fromkeys(_SPLIT.split(text), 1), lambda n, df, tf, dl, length: tf, k, None).withColumn("score", F.col("score").cast("long"))
+    return top(found, k, F.desc("score"), "doc_id", "pos")
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

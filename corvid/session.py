@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -23,3 +26,30 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Where
+    the setting is missing, a local session has a temporary folder, and on a cluster that is an error."""
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(app)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL[app] = tempfile.mkdtemp(prefix="corvid-")
+    found = f"{root.rstrip('/')}/corvid-{app}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from files in the shared folder: computed once, read by all that follows, and safe from lost executors."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
