@@ -22,6 +22,7 @@ import bisect
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,8 +96,8 @@ class Lattice:
 
     def solve(self, part: str) -> tuple[float, float, bytes]:
         """Forward Viterbi: score of the best segmentation, what the second best lacks to it, ids of the best."""
-        get, n = self.prefixes.get, len(part)
-        best, second, back = [0.0] + [-1e300] * n, [-1e300] * (n + 1), [(0, ())] * (n + 1)
+        get, n, none = self.prefixes.get, len(part), -1e300
+        best, second, back = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
         for i in range(n):
             here, also, j, known = best[i], second[i], i, False
             while j < n:
@@ -135,26 +136,35 @@ class Lattice:
 
     def n_best(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the N best segmentations in order, by A-star from the end; what Viterbi found for each
-        prefix is the exact score of the rest."""
+        prefix is the exact score of the rest. Time and memory grow with the length of the part: an open item holds its
+        last piece and a link to the item it came from, and ids are put together for the N best alone."""
+        return [(g, _linked(link)) for g, link in self._search(part)]
+
+    def _search(self, part: str) -> list[tuple[float, tuple | None]]:
         n, get = len(part), self.pieces.get
-        best, edges = [0.0], [[]]
-        for j in range(1, n + 1):
+
+        def edges(j: int) -> list[tuple[int, float, tuple[int, ...]]]:
             own = [(i, found[1], found[0]) for i in range(max(0, j - self.longest), j) if (found := get(part[i:j])) is not None]
             if get(part[j - 1]) is None:
                 own.append((j - 1, self.unknown, self._spelt(part[j - 1])))
-            edges.append(own)
-            best.append(max(best[i] + x for i, x, _ in own))
+            return own
+
+        best = array("d", [0.0])
+        for j in range(1, n + 1):
+            best.append(max([best[i] + x for i, x, _ in edges(j)]))
         # Each open item has a completion of just its score and no two share one, so no more items than there are
         # segmentations missing need stay open.
-        out: list[tuple[float, tuple[int, ...]]] = []
-        open_items: list[tuple] = [(-best[n], 0, (), n, 0.0)]
+        out: list[tuple[float, tuple | None]] = []
+        open_items: list[tuple] = [(-best[n], 0, 0, n, 0.0, None)]
+        number = 0  # of equal scores fewer pieces come first, then the item that was opened first
         while open_items and len(out) < self.best:
-            _, size, tail, at, g = open_items.pop(0)
+            _, size, _, at, g, link = open_items.pop(0)
             if at == 0:
-                out.append((g, tail))
+                out.append((g, link))
                 continue
-            for i, x, own in edges[at]:
-                bisect.insort(open_items, (-(g + x + best[i]), size + len(own), own + tail, i, g + x))
+            for i, x, own in edges(at):
+                number += 1
+                bisect.insort(open_items, (-(g + x + best[i]), size + len(own), number, i, g + x, (own, link)))
             del open_items[self.best - len(out) :]
         return out
 
@@ -164,25 +174,35 @@ class Lattice:
             return b"", 0.0, [0.0]
         memory, recall = self.memory, self.recall
         names = self.parts(f" {text}")
-        parts = [memory[p] if p in memory else recall(p) for p in names]
-        score = float(sum([p[0] for p in parts]))
-        first = np.array([p[1] for p in parts])
+        parts = list(map(memory.get, names))
+        if None in parts:
+            parts = [found or memory.get(p) or recall(p) for p, found in zip(names, parts)]
+        scores, gaps, ids = zip(*parts)
+        score, first = float(sum(scores)), np.array(gaps)
         k = min(self.best - 1, len(parts))
         sums = [0.0]
-        for i in np.argpartition(first, k - 1)[:k].tolist() if k else []:
+        for i in np.argpartition(first, k - 1)[:k].tolist() if k < len(parts) else range(k):
             detours = self.detours.get(names[i])
             if detours is None:
                 if len(self.detours) > 20_000:
                     self.detours.clear()
-                detours = self.detours[names[i]] = [parts[i][0] - g for g, _ in self.n_best(names[i])]
+                detours = self.detours[names[i]] = [scores[i] - g for g, _ in self._search(names[i])]
             sums = sorted(a + b for a in sums for b in detours)[: self.best]
-        return b"".join([p[2] for p in parts]), score, [score - s for s in sums]
+        return b"".join(ids), score, [score - s for s in sums]
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<i4").tolist()))
         return data.decode("utf-8", "surrogatepass")[1:]
 
 
+def _linked(link: tuple | None) -> tuple[int, ...]:
+    out: list[int] = []
+    while link is not None:
+        out.extend(link[0])
+        link = link[1]
+    return tuple(out)
+
+
 def load(path: str = MODEL_PATH, best: int = BEST) -> Lattice:
     with open(path, "rb") as f:
         return Lattice(f.read(), best)
