@@ -2,9 +2,17 @@
 
 A change is an insert, a delete or a revised count of one document under one tokenizer version; it becomes signed rows,
 and a batch of changes becomes one small table of sums by source, language and version. Sums are additive, so totals
-are the sum over all committed batches and no old row is ever read again. A batch is written aside and committed by
-renaming its folder to its id; a rename onto an existing id fails, so a batch that is sent again changes nothing.
-Compaction folds committed batches into one and remembers their ids.
+are the sum over all committed batches and no old row is ever read again.
+
+A batch's sums are written aside, and committed by creating a small marker, named by the hash of the batch's id, that
+tells where they are. Creating never overwrites, so of writers that send the same batch one commits and the others are told
+so, and a batch that is sent again changes nothing. A marker that a dying writer left unfinished does not count as
+committed; who sends the batch again after ``STALE_S`` seconds completes it.
+
+Compaction writes the sum of the batches that it has seen, and then a fold, one more marker that names them and the sum: from
+then on readers take the latest fold and the batches that it does not name. A batch that is committed meanwhile is not named
+and counts by itself, and a compaction that dies leaves nothing that counts. Files of folded batches stay until the next
+fold, for readers that began before.
 
 Defined results: a null source, language or version is a group of its own; a null text has no tokens; a null count is 0;
 repeated change rows each count (changes are events, batches are the unit that is idempotent); an empty batch commits
@@ -14,11 +22,15 @@ and changes nothing; totals without documents and tokens are left out; other col
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,51 +43,105 @@ KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
+#: Seconds after which an unfinished marker is taken over.
+STALE_S = 60
+
+
 class Rollup:
-    """A folder of committed batches. One driver writes at a time or several do: commits don't clash."""
+    """A folder of committed batches. Any number of drivers may write and compact."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self.path(f"{self.root}/batches"))
+        for name in ("batches", "folds"):
+            self.fs.mkdirs(self.path(f"{self.root}/{name}"))
+
+    def _marks(self, kind: str) -> dict[str, dict]:
+        """Finished markers by name."""
+        out = {}
+        for x in self.fs.listStatus(self.path(f"{self.root}/{kind}")):
+            if (found := self._mark(x.getPath())) is not None:
+                out[x.getPath().getName()] = found
+        return out
+
+    def _mark(self, path) -> dict | None:
+        try:
+            stream = self.fs.open(path)
+            try:
+                return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+            finally:
+                stream.close()
+        except (ValueError, Py4JJavaError):  # unfinished, or gone since it was listed
+            return None
+
+    def _create(self, name: str, content: dict, over: bool = False) -> bool:
+        path = self.path(f"{self.root}/{name}")
+        try:
+            out = self.fs.create(path, over)
+        except Py4JJavaError:
+            if self.fs.exists(path):
+                return False
+            raise
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        return True
+
+    def _state(self) -> tuple[dict | None, dict[str, dict]]:
+        """The latest fold, and the batches that it does not name."""
+        batches = self._marks("batches")  # before the folds: a batch that is folded meanwhile is seen in one of them
+        folds = self._marks("folds")
+        fold = folds[max(folds)] if folds else None
+        named = set(fold["batches"]) if fold else set()
+        return fold, {k: v for k, v in batches.items() if k not in named}
 
     def committed(self) -> list[str]:
-        names = sorted(x.getPath().getName() for x in self.fs.listStatus(self.path(f"{self.root}/batches")))
-        return [n for name in names for n in name.split("+")]
+        return sorted(x["id"] for x in self._marks("batches").values())
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add signed rows (KEYS, n_docs, n_tokens) as one batch; False if that batch was there already."""
-        if not batch_id or set(batch_id) & set("/+"):
-            raise ValueError("a batch id is not empty and has no '/' or '+'")
-        if batch_id in self.committed():
+        if not batch_id:
+            raise ValueError("a batch id is not empty")
+        name = f"batches/{hashlib.sha256(batch_id.encode()).hexdigest()}"
+        mark = self.path(f"{self.root}/{name}")
+        if self._mark(mark) is not None:
             return False
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        aside = self.path(f"{self.root}/aside-{uuid.uuid4().hex}")
-        sums.coalesce(1).write.parquet(aside.toString())  # a row for each group, however large the batch
-        done = not self.fs.exists(self.path(f"{self.root}/batches/{batch_id}")) and self.fs.rename(aside, self.path(f"{self.root}/batches/{batch_id}"))
+        data = uuid.uuid4().hex
+        sums.coalesce(1).write.parquet(f"{self.root}/data/{data}")  # a row for each group, however large the batch
+        content = {"id": batch_id, "data": data}
+        done = self._create(name, content)
+        if not done and self._mark(mark) is None and time.time() - self.fs.getFileStatus(mark).getModificationTime() / 1000 > STALE_S:
+            done = self._create(name, content, over=True)
         if not done:
-            self.fs.delete(aside, True)
+            self.fs.delete(self.path(f"{self.root}/data/{data}"), True)
         return done
 
+    def _sums(self, folders: list[str]) -> DataFrame:
+        names = [f"{self.root}/data/{x}" for x in folders]
+        rows = self.spark.read.schema(SCHEMA).parquet(*names) if names else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
     def totals(self) -> DataFrame:
-        names = [x.getPath().toString() for x in self.fs.listStatus(self.path(f"{self.root}/batches"))]
-        rows = self.spark.read.schema(SCHEMA).parquet(*sorted(names)) if names else self.spark.createDataFrame([], SCHEMA)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
-
-    def compact(self) -> None:
-        """Fold all batches into one folder named after them. Readers see either the old folders or the new one."""
-        names = sorted(x.getPath().getName() for x in self.fs.listStatus(self.path(f"{self.root}/batches")))
-        if len(names) < 2:
-            return
-        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{aside}/{'+'.join(names)}")
-        old = f"{self.root}/old-{uuid.uuid4().hex}"
-        self.fs.rename(self.path(f"{self.root}/batches"), self.path(old))
-        self.fs.rename(self.path(aside), self.path(f"{self.root}/batches"))
-        self.fs.delete(self.path(old), True)
+        fold, batches = self._state()
+        folders = [x["data"] for x in ([fold] if fold else [])] + sorted(x["data"] for x in batches.values())
+        return self._sums(folders).where("n_docs <> 0 or n_tokens <> 0")
+
+    def compact(self) -> bool:
+        """Folds all batches into one; False if there is nothing to fold or another compaction was first."""
+        folds = sorted(self._marks("folds"))
+        fold, batches = self._state()
+        if len(batches) + (fold is not None) < 2:
+            return False
+        data, old = uuid.uuid4().hex, [x["data"] for x in [*([fold] if fold else []), *batches.values()]]
+        self._sums(old).coalesce(1).write.parquet(f"{self.root}/data/{data}")
+        number = int(folds[-1]) + 1 if folds else 0
+        if not self._create(f"folds/{number:012d}", {"batches": sorted([*(fold["batches"] if fold else []), *batches]), "data": data, "old": old}):
+            self.fs.delete(self.path(f"{self.root}/data/{data}"), True)
+            return False
+        for x in fold["old"] if fold else []:
+            self.fs.delete(self.path(f"{self.root}/data/{x}"), True)
+        return True
 
 
 def inserts(counts: DataFrame) -> DataFrame:
