@@ -5,8 +5,9 @@ A window is ``size`` consecutive words of an item, or the whole of a shorter ite
 each window once, with its items, and scans each text once; a hit's end gives its words, and those words' places in
 the original text.
 
-Benchmarks are taken to be small, but that is checked: beyond ``SHARD_BYTES`` of item text the items are dealt to
-several automata by hash, and a chain of passes scans the texts once for each, so that no worker holds more.
+Benchmarks are taken to be small, but that is checked: an automaton takes some 400 bytes of memory a byte of item text, so
+beyond ``SHARD_BYTES`` of item text the items are dealt to several automata by hash, and a chain of passes scans the texts
+once for each; no worker holds more than one at a time, and the driver holds the text of one, while it is sent out.
 
 Defined results: a null or empty text, or one without words, has no windows and no hits; items without words have no
 window; items that repeat a window are all counted; an item without id is searched for like any other, and all such items
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from corvid.llm import common
 
 SIZE = 10
 #: Text of items that one automaton holds.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _KEPT else 32 for c in range(256))
@@ -57,18 +59,26 @@ def windows(items: list[tuple], size: int = SIZE) -> dict[str, list[str | None]]
     return {k: ordered(v) for k, v in found.items()}
 
 
+_HELD: list = []
+
+
 class Scanner:
-    """The automaton; made from the windows where it is first used, since it doesn't travel well."""
+    """The automaton; items travel as they are, and a worker makes it from their windows where it is first used."""
 
-    def __init__(self, found: dict[str, list[str | None]]):
-        self.found, self.automaton = found, None
+    def __init__(self, items: list[tuple], size: int = SIZE):
+        self.items, self.size, self.found, self.automaton = items, size, None, None
 
     def __getstate__(self):
-        return {"found": self.found, "automaton": None}
+        return {"items": self.items, "size": self.size, "found": None, "automaton": None}
 
     def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans [first word, last word + 1) of the windows that occur, and the items that have them."""
+        if self.found is None:
+            self.found = windows(self.items, self.size)
         if self.automaton is None and self.found:
+            if _HELD and _HELD[0] is not self:  # one automaton a worker
+                _HELD.pop().automaton = None
+            _HELD[:] = [self]
             self.automaton = ahocorasick.Automaton()
             for k, items in self.found.items():
                 self.automaton.add_word(k, (k.count(" ") - 1, items))
@@ -84,11 +94,14 @@ class Scanner:
         return spans, items
 
 
-def scanners(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> list[Scanner]:
+def scanners(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> Iterator[Broadcast]:
+    """An automaton's items for each shard, broadcast one after the other."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / SHARD_BYTES))
-    return [Scanner(windows([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], size)) for k in range(n)]
+    for k in range(n):
+        items = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]  # about SHARD_BYTES
+        yield benchmark.sparkSession.sparkContext.broadcast(Scanner(items, size))
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,11 +123,10 @@ def original(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Per row: id, n_words, n_hit, items (sorted), spans (hit passages as byte offsets into the original text)."""
-    shards = scanners(benchmark, size=size)
+    shards = list(scanners(benchmark, size=size))
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("ws"), F.array().cast("array<string>").alias("items"))
     kind = df.schema["id"].dataType.simpleString()
-    for k, scanner in enumerate(shards):
-        held = docs.sparkSession.sparkContext.broadcast(scanner)
+    for k, held in enumerate(shards):
         last = k == len(shards) - 1
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
@@ -134,14 +146,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array([sum(e - s for s, e in x[0]) for x in found], pa.int64()), items, spans], ["id", "n_words", "n_hit", "items", "spans"])
 
         df = common.map_batches(df, run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" if last else f"id {kind}, text string, ws array<long>, items array<string>")
+        df = df if last else common.checkpoint(df)  # else the workers of all passes would stand side by side
     return df
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """``docs`` without the rows in which a window occurs; all columns stay as they are."""
     at = docs.columns.index(text_col)
-    for scanner in scanners(benchmark, size=size):
-        held = docs.sparkSession.sparkContext.broadcast(scanner)
+    for k, held in enumerate(scanners(benchmark, size=size)):
+        docs = common.checkpoint(docs) if k else docs
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
