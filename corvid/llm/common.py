@@ -57,6 +57,30 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y) of labels 0 and 1, one row an id; ids that have both, null ids and other labels are left out."""
+    y = F.col(label_col).cast("int")
+    each = labels.select(F.col(id_col).alias("id"), y.alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    return each.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
+
+
+def smallest(rows: DataFrame, place: Column, n: int) -> DataFrame:
+    """At most ``n`` rows, those of smallest ``place`` (a hash): all below a bound that a histogram of ``BINS`` rows gives, so no
+    task gets more than its share, where a sorted limit would bring n rows of each task to one."""
+    part = F.shiftrightunsigned(place.bitwiseXOR(F.lit(-(2**63))), 64 - BINS.bit_length() + 1)
+    bound = 0
+    for k, size in sorted(map(tuple, rows.groupBy(part.alias("k")).agg(F.count(F.lit(1))).collect())):
+        n -= size
+        if n < 0:
+            break
+        bound = k + 1
+    return rows.where(part < bound)
+
+
+#: Parts of the range of a hash.
+BINS = 1 << 12
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -1,22 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary texts, give each word a log-likelihood; a text's score is calibrated from
-the difference of the two per word: that of its ``TELLING`` most toxic words beyond the median word's, and the text's
-length, since longer texts have larger extremes by chance. (Both were chosen by cross-validation in five folds of the
-2,636 rows of sf0.1 that may be learned from: means over 1, 2, 3, 5, 8, 12 or all words, with and without the median,
-by recall less false alarms at the threshold. Five beyond the median: AUC 0.970, all words: 0.861, all words without the
-median: 0.724, as they drown in what tells languages apart.) A word's probability is its discounted
-count in the class plus shared mass, which a character model of order ``ORDER`` within the word tilts. The character models of both classes back off to one shared Kneser-Ney model whose lower orders count distinct
-left contexts over both classes, so an expression that is rare in both gets the same probability from both and tells
-nothing, while a stem that only toxic texts use tells a lot even in a word never seen.
+Two models, one of toxic and one of ordinary texts, give each word a probability: what its count of documents in the class
+is beyond a discount, and for the discounted mass a backoff that both classes share, a Kneser-Ney model of a word's
+characters whose lower orders count distinct left neighbours over both classes. Both are proper: over all words, known or
+not, each sums to 1. An expression that is rare in both classes has the same backoff in both and tells almost nothing.
+
+A text is judged by length-normalised log-likelihoods, toxic less ordinary, of its ``TELLING`` most telling words beyond the
+median word's (what all of the text shares, such as its language, tells nothing), and by the log of its length, since longer
+texts have larger extremes by chance; a logistic regression calibrates both. The mean over all words of a text, which is the
+plain form of the method, cannot find a few words in hundreds: see the README for its figures and how this form was chosen.
 
 Labels are learned from at most ``MAX_PER_CLASS`` labelled rows of each class, those of the smallest id hash; a quarter
-of them is held back to calibrate. What is gathered from the sample is counted on the executors; only counts travel.
+of them is held back to calibrate. Words of the sample are counted on the executors; the driver gets those that at least
+``MIN_DOCUMENTS`` documents have, and how many words there are in all.
 
 Defined results: a null, empty or white-space text has difference 0 and is scored like any other; ids, languages and
-sources are never inputs; labels other than 0 and 1, null labels and labels without a row are not learned from; with no
-label of one class every score is 0; repeated rows score alike; further columns are not read (``scores``) or passed on
-(``keep_ordinary``).
+sources are never inputs; labels other than 0 and 1, null labels, ids that have both labels, and labels without a row are
+not learned from; with no label of one class every score is 0; repeated rows score alike; further columns are not read
+(``scores``) or passed on (``keep_ordinary``).
 """
 
 from __future__ import annotations
@@ -32,113 +33,83 @@ from pyspark.sql import functions as F
 
 from corvid.llm import common
 
-ORDER = 6
+ORDER = 4
 MAX_PER_CLASS = 3000
+#: Documents that a word must be in to count as known; the others make up the mass of unknown words.
+MIN_DOCUMENTS = 3
 THRESHOLD = 0.7
-#: Shared pseudo-counts: of a character context, of a word, and the weight of a word's.
-STRENGTH = 8
-FLOOR = 10
-SHARE = 0.5
+DISCOUNT = 0.75
 #: Words by which a text is judged: those whose difference is largest.
 TELLING = 5
-#: Words whose scores a worker remembers.
+#: Words whose differences a worker remembers.
 REMEMBERED = 400_000
+#: Characters of which the last resort is even.
+ALPHABET = 1_114_112
 _TRIM = b".,;:!?\"'()[]{}%&*$#|<>-"
 
 
-class Model:
-    """Word and character tables of log-likelihood differences (toxic minus ordinary), and the calibration."""
+class Spelling:
+    """Kneser-Ney model of the characters of words (each counted once), an end after each; order ``ORDER``."""
 
-    def __init__(self, counts: dict[bytes, tuple[int, int]]):
-        chars = [Counter(), Counter()]
-        for word, n in counts.items():
-            text = "\x02" * (ORDER - 1) + word.decode("utf-8", "replace") + "\x03"
-            grams = [text[i : i + ORDER] for i in range(len(text) - ORDER + 1)]
-            for k in (0, 1):
-                if n[k]:
-                    chars[k].update(grams)
-        self.grams, self.contexts = self._characters(chars)
-        self.memory: dict[bytes, float] = {}
-        total = [max(1, sum(n[k] for n in counts.values())) for k in (0, 1)]
-        self.words = {}
-        for word, n in counts.items():
-            if max(n) > 1:
-                # The discounted mass of both classes goes by shared counts; what the character models tell enters there.
-                shared = SHARE * (sum(n) + FLOOR) / sum(total)
-                hint = math.exp(min(6.0, max(-6.0, self.characters(word))) / 2)
-                p = [max(n[k] - 0.75, 0) / total[k] + shared * (hint if k else 1 / hint) for k in (0, 1)]
-                self.words[word] = math.log(p[1] / p[0])
-        self.weights = None
-
-    @staticmethod
-    def _characters(chars: list[Counter]) -> tuple[dict, dict]:
-        # Lower orders: distinct left neighbours over both classes, each level from the level above.
-        levels, grams = [], set(chars[0]) | set(chars[1])
-        while True:
-            left = Counter(g[1:] for g in grams)
-            levels.append(left)
-            grams = set(left)
-            if len(next(iter(left), "")) <= 1:
-                break
-        sums = []
-        for left in levels:
+    def __init__(self, words: list[str]):
+        grams: Counter = Counter()
+        for w in words:
+            text = "\x02" * (ORDER - 1) + w + "\x03"
+            grams.update(text[i : i + ORDER] for i in range(len(text) - ORDER + 1))
+        self.levels, self.totals, self.kinds = [], [], []
+        for _ in range(ORDER):  # each lower order counts distinct left neighbours of the order above
             total, kinds = defaultdict(int), defaultdict(int)
-            for g, n in left.items():
+            for g, n in grams.items():
                 total[g[:-1]] += n
                 kinds[g[:-1]] += 1
-            sums.append((total, kinds))
-        known: dict[str, float] = {}
-
-        def shared(g: str) -> float:
-            if g in known:
-                return known[g]
-            i = ORDER - 1 - len(g)
-            total, kinds = sums[i]
-            h = g[:-1]
-            low = shared(g[1:]) if len(g) > 1 else 1 / 2000
-            p = (max(levels[i].get(g, 0) - 0.75, 0) + 0.75 * kinds.get(h, 0) * low) / total[h] if total.get(h) else low
-            known[g] = p
-            return p
-
-        total, kinds = [Counter(), Counter()], [Counter(), Counter()]
-        for k in (0, 1):
-            for g, n in chars[k].items():
-                total[k][g[:-1]] += n
-                kinds[k][g[:-1]] += 1
-
-        both = chars[0] + chars[1]
-        sums_both, kinds_both = total[0] + total[1], Counter(g[:-1] for g in both)
-
-        def pooled(g: str) -> float:
-            h = g[:-1]
-            return (max(both[g] - 0.75, 0) + 0.75 * kinds_both[h] * shared(g[1:])) / sums_both[h]
-
-        def spare(k: int, h: str) -> float:
-            return (0.75 * kinds[k][h] + STRENGTH) / (total[k][h] + STRENGTH)
-
-        def p(k: int, g: str) -> float:
-            return max(chars[k][g] - 0.75, 0) / (total[k][g[:-1]] + STRENGTH) + spare(k, g[:-1]) * pooled(g)
-
-        return (
-            {g: math.log(p(1, g) / p(0, g)) for g in both},
-            {h: math.log(spare(1, h) / spare(0, h)) for h in kinds_both},
-        )
-
-    def characters(self, word: bytes) -> float:
-        text = "\x02" * (ORDER - 1) + word.decode("utf-8", "replace") + "\x03"
-        grams, contexts, total = self.grams, self.contexts, 0.0
+            self.levels.append(grams)
+            self.totals.append(total)
+            self.kinds.append(kinds)
+            grams = Counter(g[1:] for g in grams)
+        self.known: dict[str, float] = {}
+
+    def next(self, g: str) -> float:
+        """Probability of the last character of ``g`` after those before."""
+        if not g:
+            return 1 / ALPHABET
+        if (p := self.known.get(g)) is None:
+            i, h, low = ORDER - len(g), g[:-1], self.next(g[1:]) if len(g) > 1 else 1 / ALPHABET
+            total = self.totals[i].get(h, 0)
+            p = self.known[g] = (max(self.levels[i].get(g, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[i][h] * low) / total if total else low
+        return p
+
+    def __call__(self, word: str) -> float:
+        text, p = "\x02" * (ORDER - 1) + word + "\x03", 1.0
         for i in range(len(text) - ORDER + 1):
-            g = text[i : i + ORDER]
-            x = grams.get(g)
-            total += contexts.get(g[:-1], 0.0) if x is None else x
-        return total
+            p *= self.next(text[i : i + ORDER])
+        return p
+
+
+class Model:
+    """Differences (toxic minus ordinary) of known words and of any other, and the calibration."""
+
+    def __init__(self, counts: dict[bytes, tuple[int, int]], totals: tuple[int, int]):
+        """counts: documents of known words in each class; totals: of all words of a class, known or not. What known words leave
+        of a class's mass is for the backoff."""
+        spelt = Spelling([w.decode("utf-8", "replace") for w in counts])
+        self.totals = totals
+        self.spare = [1 - sum(max(n[k] - DISCOUNT, 0) for n in counts.values()) / totals[k] for k in (0, 1)]
+        self.words = {}
+        for word, n in counts.items():
+            p = self.probabilities(n, spelt(word.decode("utf-8", "replace")))
+            self.words[word] = math.log(p[1] / p[0])
+        self.unknown = math.log(self.spare[1] / self.spare[0])
+        self.memory: dict[bytes, float] = {}
+        self.weights = None
+
+    def probabilities(self, n: tuple[int, int], shared: float) -> list[float]:
+        """Of a word with ``n`` documents in each class whose shared backoff is ``shared``."""
+        return [max(n[k] - DISCOUNT, 0) / self.totals[k] + self.spare[k] * shared for k in (0, 1)]
 
     def difference(self, token: bytes) -> float:
         """Of a token as it stands in the text, upper and lower case alike."""
         word = token.strip(_TRIM)
-        x = self.words.get(word)
-        if x is None:
-            x = self.characters(word) if word else 0.0
+        x = self.words.get(word, self.unknown) if word else self.unknown
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
         self.memory[token] = x
@@ -150,7 +121,7 @@ class Model:
             return 0.0, 0.0
         memory, miss = self.memory, self.difference
         d = np.array([memory[t] if t in memory else miss(t) for t in tokens])
-        d -= np.median(d)  # what all of the text shares, such as its language, tells nothing
+        d -= np.median(d)
         most = d if len(d) <= TELLING else np.partition(d, len(d) - TELLING)[-TELLING:]
         return float(most.sum() / TELLING), math.log(len(tokens))
 
@@ -180,11 +151,16 @@ class Model:
         return self.__dict__ | {"memory": {}}
 
 
+def known_words(data: bytes | None) -> set[bytes]:
+    """The different words of a text."""
+    return {w for t in (data or b"").lower().split() if (w := t.strip(_TRIM))}
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """``learn``: which labelled rows may be learned from, over the column ``id``."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & learn & F.col("y").isin(0, 1)).dropDuplicates(["id"])
+    marked = common.labelled(labels, id_col, label_col).where(learn)
     place = F.xxhash64("id")
-    sample = [marked.where(F.col("y") == y).orderBy(place, "id").limit(MAX_PER_CLASS) for y in (0, 1)]
+    sample = [common.smallest(marked.where(F.col("y") == y), place, MAX_PER_CLASS) for y in (0, 1)]
     sample = sample[0].unionByName(sample[1])  # at most 2 * MAX_PER_CLASS rows: it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = common.checkpoint(texts.join(F.broadcast(sample), "id").select("id", "text", "y", (F.pmod(place, F.lit(4)) == 3).alias("calibrates")))
@@ -193,16 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         for b in batches:
             found = [Counter(), Counter()]
             for data, y in zip(common.as_bytes(b.column(0)), b.column(1).to_pylist()):
-                found[y].update(w.strip(_TRIM) for w in (data or b"").lower().split())
+                found[y].update(known_words(data))
             all_words = list(found[0] | found[1])
             yield pa.RecordBatch.from_arrays([pa.array(all_words, pa.binary()), *(pa.array([found[k][w] for w in all_words], pa.int64()) for k in (0, 1))], ["word", "n0", "n1"])
 
     counted = common.map_batches(rows.where("not calibrates").select("text", "y"), count, "word binary, n0 long, n1 long")
-    counts = counted.groupBy("word").agg(F.sum("n0"), F.sum("n1")).toArrow()
-    words, n0, n1 = (counts.column(i).to_pylist() for i in range(3))
-    if not (sum(n0) and sum(n1)):
+    counts = common.checkpoint(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    total = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    if not (total[0] and total[1]):
         return None
-    model = Model({bytes(w): (a, b) for w, a, b in zip(words, n0, n1) if w})
+    got = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCUMENTS).toArrow()
+    words, n0, n1 = (got.column(i).to_pylist() for i in range(3))
+    model = Model({bytes(w): (a, b) for w, a, b in zip(words, n0, n1)}, tuple(total))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
