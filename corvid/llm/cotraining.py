@@ -10,7 +10,8 @@ At most ``LABELLED`` labelled and ``POOL`` unlabelled rows, those of the smalles
 are scored, one at a time.
 
 Defined results: a null text is empty, null metadata is a value of its own; null labels and labels other than 0 and 1
-are not learned from; with labels of one class only, every score is that class; repeated rows score alike; an empty
+are not learned from, nor ids that have both; where the rows learned from or those that calibrate lack a class, every score is the
+mean label, 1 without any label; repeated rows score alike; an empty
 table gives no rows; columns besides the named ones are not read.
 """
 
@@ -161,13 +162,14 @@ def _inputs(docs: DataFrame) -> list[Column]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_col: str = "quality") -> CoTrained:
     """``learn``: which labelled rows may be learned from, over the column ``id``."""
-    marked = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).dropDuplicates(["id"])
+    marked = common.labelled(labels, "doc_id", label_col)
     marked = marked if learn is None else marked.where(learn)
     place = F.xxhash64("id")
-    chosen = marked.orderBy(place, "id").limit(LABELLED)
+    chosen = common.smallest(marked, place, LABELLED)
     known = labels.select(F.col("doc_id").alias("id")).distinct()
-    others = docs.select(F.col("doc_id").alias("id")).where("id is not null").join(known, "id", "left_anti")
-    pool = others.orderBy(place, "id").limit(POOL).distinct().select("id", F.lit(-1).alias("y"))
+    # The pool is drawn before labelled ids are taken out, so that only its rows meet them.
+    others = common.smallest(docs.select(F.col("doc_id").alias("id")).where("id is not null"), place, 2 * POOL).distinct().join(known, "id", "left_anti")
+    pool = common.smallest(others, place, POOL).select("id", F.lit(-1).alias("y"))
     sample = chosen.unionByName(pool)  # at most LABELLED + POOL rows: it may be broadcast
     rows = docs.withColumn("id", F.col("doc_id")).select("id", *_inputs(docs)).join(F.broadcast(sample), "id")
     rows = rows.select("text", "source", "lang", "n_chars", "y", (F.pmod(place, F.lit(4)) == 3).alias("c"))

@@ -9,8 +9,8 @@ narrow pass without shuffle or Python.
 It is learned from at most ``MAX_LABELLED`` labelled rows, those of the smallest id hash; only their numbers, never
 texts, reach the driver.
 
-Defined results: a null or empty text has no words and every statistic 0; a null label, a label other than 0 and 1 or
-one without a row is not learned from; with no usable labels the list is empty and keeps everything; repeated rows are
+Defined results: a null or empty text has no words and every statistic 0; a null label, a label other than 0 and 1, ids
+that have both, and labels without a row are not learned from; with no usable labels the list is empty and keeps everything; repeated rows are
 judged alike; an empty table gives no rows; columns of the input are kept under ``judged`` and a clash with a working
 name is impossible, since statistics live in one struct whose name is chosen to be free.
 """
@@ -202,8 +202,7 @@ def base_failed(stats: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[list[Condition]]:
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).dropDuplicates(["id"])
-    sample = marked.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)  # a bounded number of rows: it may be broadcast
+    sample = common.smallest(common.labelled(labels, id_col, label_col), F.xxhash64("id"), MAX_LABELLED)  # a bounded number of rows: it may be broadcast
     rows, name = with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"))
     s = F.col(name)
     # Texts that the base rule rejects need no learned rule.
