@@ -28,7 +28,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.encode(read(spark, sf_dir, "documents"), lattice.load(), with_ids=False).withColumnRenamed("id", "doc_id")
+    return lattice.encode(read(spark, sf_dir, "documents"), lattice.load()).withColumnRenamed("id", "doc_id")
 
 
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,9 @@ def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted with their words as a first count, then revised to token counts; each batch is sent
-    twice, and the second time changes nothing."""
+    """All documents are inserted with their words as a first count, then revised to token counts. They are
+    inserted once more and deleted again, which cancels out. Each batch is sent twice, the second time in vain, with a
+    compaction between the two."""
     docs = read(spark, sf_dir, "documents")
     rollup = token_rollup.Rollup(spark, f"{common.folder(spark)}/rollup-{uuid.uuid4().hex}")
     words = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit("ascii_words").alias("tokenizer_version"), F.size(common.words_of(F.col("text"))).cast("long").alias("n_tokens"))
@@ -77,6 +78,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         rollup.commit("load", token_rollup.inserts(words))
         rollup.commit("revise", token_rollup.revisions(revised))
+        rollup.compact()
+        rollup.commit("load-again", token_rollup.inserts(words))
+        rollup.commit("delete", token_rollup.deletes(words))
     return rollup.totals()
 
 

@@ -1,14 +1,18 @@
 """The operators against brute force, round trips and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import threading
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
@@ -223,6 +227,21 @@ def test_segmentations_against_all(pieces):
         assert pieces.decode(ids) == t and best[0] == score and np.allclose(best, every(t))
 
 
+def test_long_parts_without_breaks_take_linear_time(pieces):
+    rng = random.Random(2)
+    took = []
+    for n in (5_000, 50_000):
+        t = "".join(rng.choice("abcdefgh0123456789+/") for _ in range(n))
+        start = time.perf_counter()
+        ids, score, best = pieces.encode(t)
+        took.append(time.perf_counter() - start)
+        assert pieces.decode(ids) == t and best == sorted(best, reverse=True) and len(best) == pieces.best and best[0] == score
+    assert took[1] < 40 * took[0] + 1  # squares would take a hundred times as long
+    for g, own in pieces.n_best("abc de"[3:] * 50):
+        data = b"".join(pieces.bytes_of[i] for i in own)
+        assert data.decode() == "abc de"[3:] * 50 and g <= 0
+
+
 def test_encoding_of_tables(spark, pieces):
     got = lattice.encode(documents(spark), pieces).collect()
     assert len(got) == documents(spark).count() and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in got)
@@ -355,6 +374,41 @@ def test_decontamination_finds_items_without_id(spark, monkeypatch, shard):
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
 
 
+def test_probabilities_of_words_sum_to_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "ALPHABET", 6)
+    alphabet = "abcd\x02\x03"
+    spelt = toxicity.Spelling(["ab", "abc", "dab", "bb"])
+    for h in ("\x02\x02\x02", "\x02\x02a", "dab", "ccc", "bd"):
+        assert abs(sum(spelt.next(h[-3:] + c) for c in alphabet) - 1) < 1e-9
+    counts = {b"ab": (5, 0), b"abc": (3, 4), b"dab": (0, 6), b"bb": (2, 1)}
+    model = toxicity.Model(counts, (12, 13))
+    for k in (0, 1):  # known words beside the backoff's share of all other strings
+        known = sum(model.probabilities(n, spelt(w.decode()))[k] for w, n in counts.items())
+        others = model.spare[k] * (1 - sum(spelt(w.decode()) for w in counts))
+        assert abs(known + others - 1) < 1e-9
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(16)
+    rows = [(i, text(rng, rng.randint(20, 60)) + (" vile, Nasty foul!" if i % 3 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(7, 1), (8, 1)], "doc_id long, toxic int")  # 7 and 8 have both
+    model = toxicity.train(df, labels, F.lit(True))
+    known = {r["id"]: r["c"] for r in df.select(F.col("doc_id").alias("id"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3).alias("c")).collect()}
+    counts = [Counter(), Counter()]
+    for i, t in rows:
+        if i not in (7, 8) and not known[i]:
+            counts[int(i % 3 == 0)].update({w.strip(".,!") for w in t.lower().split()})
+    every = {w: (counts[0][w], counts[1][w]) for w in counts[0] | counts[1] if counts[0][w] + counts[1][w] >= toxicity.MIN_DOCUMENTS}
+    total = [sum(c.values()) for c in counts]
+    spelt = toxicity.Spelling(list(every))
+    spare = [1 - sum(max(n[k] - 0.75, 0) for n in every.values()) / total[k] for k in (0, 1)]
+    llr = {w: math.log((max(n[1] - 0.75, 0) / total[1] + spare[1] * spelt(w)) / (max(n[0] - 0.75, 0) / total[0] + spare[0] * spelt(w))) for w, n in every.items()}
+    for i, t in rows[:40]:
+        d = np.array([llr.get(w.strip(".,!"), math.log(spare[1] / spare[0])) for w in t.lower().split()])
+        assert np.allclose(model.features(t.encode()), (np.sort(d - np.median(d))[-5:].sum() / 5, math.log(len(d))))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilething", "vilestuff", "vileness"]
@@ -394,12 +448,71 @@ def test_rollup(spark, tmp_path):
     assert r.commit("b3", token_rollup.revisions(new)) and r.commit("b4", token_rollup.inserts(rows.limit(0)))
     want = sorted([("a", "en", "v2", 1, 9), (None, None, "v1", 1, 0)], key=repr)
     assert total() == want
-    r.compact()
+    assert r.compact() and not r.compact()
     assert total() == want and r.committed() == ["b1", "b2", "b3", "b4"] and not r.commit("b2", token_rollup.inserts(rows))
+    long = [f"a batch/with+a very long id {i} " + "x" * 300 for i in range(4)]
+    assert all(r.commit(i, token_rollup.inserts(rows)) for i in long) and r.compact() and r.compact() is False
+    assert r.commit("b5", token_rollup.deletes(rows)) and {tuple(x) for x in r.totals().collect()} == {("a", "en", "v1", 6, 36), ("a", "en", "v2", 1, 9), (None, None, "v1", 4, 0)}
     counted = token_rollup.token_counts(documents(spark)).collect()
     assert len(counted) == documents(spark).count() and token_rollup.token_counts(empty(spark)).count() == 0
 
 
+def test_rollup_of_racing_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer_version string, n_tokens long")
+    r, won = token_rollup.Rollup(spark, str(tmp_path / "r")), []
+
+    def write(k):
+        other = token_rollup.Rollup(spark, str(tmp_path / "r"))
+        for i in range(3):
+            won.append((i, other.commit(f"b{i}", token_rollup.inserts(rows))))
+            other.compact()
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(i for i, done in won if done) == [0, 1, 2]
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 3, 15)]
+    # A writer died with its marker half written: not committed, and taken over when it is stale.
+    (tmp_path / "r" / "batches" / hashlib.sha256(b"b9").hexdigest()).write_text('{"id": "b')
+    assert r.committed() == ["b0", "b1", "b2"] and not r.commit("b9", token_rollup.inserts(rows))
+    token_rollup.STALE_S, before = -1, token_rollup.STALE_S
+    try:
+        assert r.commit("b9", token_rollup.inserts(rows)) and r.totals().first()["n_docs"] == 4
+    finally:
+        token_rollup.STALE_S = before
+
+
+def test_rollup_query_against_a_count(spark, tmp_path):
+    from corvid.llm import registry
+
+    docs = documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    encoding, want = None, Counter()
+    list(token_rollup.token_counts(docs.limit(1)).collect())
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(token_rollup.RANKS_PATH, "rb"))}
+    encoding = tiktoken.Encoding("test", pat_str=token_rollup.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    n = Counter()
+    for r in docs.collect():
+        n[r["source"], r["lang"]] += 1
+        want[r["source"], r["lang"]] += len(encoding.encode_ordinary(r["text"] or ""))
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in registry.op10_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {(*k, "byte_bpe_50k"): (n[k], want[k]) for k in n}
+
+
+def test_bounded_samples(spark):
+    df = spark.range(10_000)
+    place = F.xxhash64("id")
+    got = common.smallest(df, place, 500)
+    order = [r[0] for r in df.orderBy(place).select("id").collect()]
+    found = {r[0] for r in got.collect()}
+    assert 400 < len(found) <= 500 and found == set(order[: len(found)])
+    assert common.smallest(df, place, 20_000).count() == 10_000 and common.smallest(df.limit(0), place, 5).count() == 0
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, None), (None, 1), (4, 7), (5, 1)], "doc_id long, y int")
+    assert sorted(map(tuple, common.labelled(labels, "doc_id", "y").collect())) == [(1, 0), (5, 1)]
+
+
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
