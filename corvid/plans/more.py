@@ -733,3 +733,47 @@ def generate_answers(spark, sf):
     p = _passages(spark, sf).where("query_id % 2 = 0").withColumn("ref", F.concat(F.lit("P"), F.row_number().over(w)))
     got = context.extractive(_asked(spark, sf).select("query_id").join(p.select("query_id", "ref", "text"), "query_id", "left"))
     return got.select("query_id", F.sha2("answer", 256).alias("answer_hash"), "status")
+
+
+_TRIM = "regexp_replace({x}, '^[ \\t\\n\\r\\x0B\\f]+', '')"
+_ENDS = "regexp_replace({x}, '[ \\t\\n\\r\\x0B\\f]+$', '')"
+
+
+def _trimmed(parts: str, where: str = "") -> str:
+    """Chunks from ``parts`` (doc_id, pos, at0, raw): trimmed, with their bytes."""
+    lead = _TRIM.format(x="raw")
+    return f"""SELECT doc_id, CAST(pos AS INT) AS pos, CAST(at0 + strlen(raw) - strlen(t) AS BIGINT) AS "start", CAST(at0 + strlen(raw) - strlen(t) + strlen({_ENDS.format(x="t")}) AS BIGINT) AS "end", {_ENDS.format(x="t")} AS text FROM (SELECT *, {lead} AS t FROM {parts}) WHERE {_ENDS.format(x="t")} <> '' {where}"""
+
+
+_PIECES = """pc AS (SELECT doc_id, unnest(l) AS seg, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS l FROM documents)),
+  sg AS (SELECT *, sum(strlen(seg)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(seg) AS at0 FROM pc)"""
+
+#: SQL of queries that other modules define: greedy steps as recursive queries.
+ORACLES["chunk_propositional"] = f"""WITH {_PIECES.format(pattern='[^.!?\\n]+|[.!?\\n]')}, ow AS (SELECT doc_id, at0, seg AS raw, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM sg WHERE seg NOT IN ('.', '!', '?', chr(10))) {_trimmed('ow')}"""
+ORACLES["chunk_semantic"] = f"""WITH RECURSIVE {_PIECES.format(pattern='[^.!?]*[.!?]|[^.!?]+')},
+  gr AS (SELECT doc_id, i, 0 AS g, strlen(seg) AS used FROM sg WHERE i = 1 UNION ALL
+    SELECT sg.doc_id, sg.i, CASE WHEN used + strlen(seg) > 1000 THEN g + 1 ELSE g END, CASE WHEN used + strlen(seg) > 1000 THEN 0 ELSE used END + strlen(seg) FROM gr JOIN sg ON sg.doc_id = gr.doc_id AND sg.i = gr.i + 1),
+  ow AS (SELECT doc_id, g AS pos, min(at0) AS at0, string_agg(seg, '' ORDER BY i) AS raw FROM gr JOIN sg USING (doc_id, i) GROUP BY doc_id, g) {_trimmed('ow')}"""
+# The documents have neither headings nor code fences; both are tested on small texts.
+ORACLES["chunk_hierarchical"] = f"""WITH ow AS (SELECT doc_id, 0 AS pos, 0 AS at0, text AS raw FROM documents) {_trimmed('ow')}"""
+ORACLES["chunk_structure"] = f"""WITH RECURSIVE ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+  lo AS (SELECT *, strlen(line) + 1 AS n, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(line) - 1 AS at0 FROM ln),
+  gr AS (SELECT doc_id, i, 0 AS g, n AS used FROM lo WHERE i = 1 UNION ALL
+    SELECT lo.doc_id, lo.i, CASE WHEN x THEN g + 1 ELSE g END, CASE WHEN x THEN 0 ELSE used END + n FROM gr JOIN lo ON lo.doc_id = gr.doc_id AND lo.i = gr.i + 1, LATERAL (SELECT used + n > 2000 AND NOT starts_with({_TRIM.format(x='line')}, '|') AS x)),
+  ow AS (SELECT doc_id, g AS pos, min(at0) AS at0, string_agg(line, chr(10) ORDER BY i) AS raw FROM gr JOIN lo USING (doc_id, i) GROUP BY doc_id, g) {_trimmed('ow').replace("<> ''", "IS NOT NULL")}"""
+ORACLES["cluster_passages"] = f"""WITH RECURSIVE {base._BM25}, h AS (SELECT query_id, doc_id, doc_id || ':' || pos AS chunk, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, "start", doc_id || ':' || pos) AS n FROM bm JOIN fixed USING (doc_id, pos)),
+  r AS (SELECT query_id, doc_id, n, chunk, [{{'s': s, 'e': e}}] AS anchors, CAST(0 AS BIGINT) AS cluster FROM h WHERE n = 1 UNION ALL
+    SELECT h.query_id, h.doc_id, h.n, h.chunk, CASE WHEN joins THEN anchors ELSE list_append(anchors, {{'s': h.s, 'e': h.e}}) END, CASE WHEN joins THEN list_position(ov, list_max(ov)) - 1 ELSE len(anchors) END
+    FROM r JOIN h ON h.query_id = r.query_id AND h.doc_id = r.doc_id AND h.n = r.n + 1, LATERAL (SELECT list_transform(r.anchors, lambda a: greatest(0, least(h.e, a.e) - greatest(h.s, a.s))) AS ov), LATERAL (SELECT list_max(ov) > 0 AND 2 * list_max(ov) >= h.e - h.s AS joins))
+  SELECT query_id, doc_id, chunk, cluster FROM r"""
+ORACLES["pack_budget"] = f"""WITH RECURSIVE {base._BM25}, c AS (SELECT query_id, doc_id || ':' || pos AS id, score, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost FROM bm JOIN fixed USING (doc_id, pos)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c),
+  r AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, 0 AS i, false AS taken FROM o UNION ALL SELECT r.query_id, o.n, CASE WHEN used + cost <= 400 THEN used + cost ELSE used END, CASE WHEN used + cost <= 400 THEN i + 1 ELSE i END, used + cost <= 400 FROM r JOIN o ON o.query_id = r.query_id AND o.n = r.n + 1)
+  SELECT query_id, 'P' || i AS ref, id, score, cost FROM r JOIN o USING (query_id, n) WHERE taken"""
+_EVENTS = "e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+ORACLES["rate_limits"] = f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, n, event_id, t AS s, 1 AS k FROM e WHERE n = 1 UNION ALL
+    SELECT e.user_id, e.n, e.event_id, CASE WHEN e.t - s >= 86400 THEN e.t ELSE s END, CASE WHEN e.t - s >= 86400 THEN 1 ELSE k + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+  SELECT event_id, CASE WHEN k <= 3 THEN 'true' ELSE 'false' END AS allowed FROM r"""
+ORACLES["circuit_breaker"] = f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 'closed' AS state, 0 AS k, CAST(0 AS DOUBLE) AS at0 FROM e WHERE n = 1 UNION ALL
+    SELECT e.user_id, e.n, e.event_id, CASE WHEN NOT e.failed THEN 'closed' WHEN was = 'closed' AND k + 1 >= 2 THEN 'open' ELSE was END, CASE WHEN NOT e.failed THEN 0 WHEN was = 'closed' THEN k + 1 ELSE k END, CASE WHEN e.failed AND was = 'closed' AND k + 1 >= 2 THEN e.t ELSE at0 END
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT CASE WHEN r.state = 'open' AND e.t - r.at0 >= 86400 THEN 'half_open' ELSE r.state END AS was))
+  SELECT event_id, state FROM r WHERE n > 0"""
