@@ -176,14 +176,50 @@ def test_language_model(spark):
 
 
 def test_language_model_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    model = lbl.Model(np.full(lbl.SYMBOLS, 1 / lbl.SYMBOLS))
-    stream = [np.append(np.tile([3, 7, 9], 40), lbl.END) for _ in range(200)]
+    first = lbl.SYMBOLS - lbl.CLASSES
+    slot_class = np.sort(np.concatenate((np.arange(lbl.CLASSES), [0, 0, 1])))
+    model = lbl.Model(np.full(lbl.SYMBOLS, 1 / lbl.SYMBOLS), slot_class, np.ones(len(slot_class)))
+    # After 3 comes class 0 with its first word, after 7 the same class with its second.
+    s = np.append(np.tile([3, first, 7, first], 30), lbl.END)
+    slots = np.append(np.tile([-1, 0, -1, 1], 30), -1)
     for _ in range(15):
-        model.train(iter(stream))
-    table = model.table()
+        model.train(iter([(s, slots)] * 200), True)
+    table, inner = model.table(), model.inner_table()
     assert np.allclose((10 ** table.astype(float)).sum(axis=2), 1, atol=1e-3)
-    assert table[3, 7, 9] > table[3, 7, 3] + 0.5 and rng is not None
+    for k in range(lbl.CLASSES):
+        assert np.allclose((10 ** inner[:, slot_class == k].astype(float)).sum(axis=1), 1, atol=1e-3)
+    assert table[3, first, 7] > table[3, first, 3] + 0.5
+    assert inner[3, 0] > inner[3, 1] + 0.5 and inner[7, 1] > inner[7, 0] + 0.5
+
+
+def test_language_model_scores_of_texts_against_its_model(spark, monkeypatch):
+    monkeypatch.setattr(lbl, "MODELLED", 150)
+    rng = random.Random(31)
+    docs = documents(spark, [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(120)), "en", "s", 1) for i in range(700, 780)])
+    held = common.remainder(F.col("id"), 7) == 2
+    part = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.lit(8))
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary, model, counts = lbl.fit(rows.where(~held).select("text", part.alias("part")))
+    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    table, inner = model.table().astype(float), model.inner_table().astype(float)
+    order, first = sorted(n, key=lambda w: (-n[w], w)), lbl.SYMBOLS - lbl.CLASSES
+    symbol = lambda w: order.index(w) + 1 if w in order[: first - 1] else lbl.word_class(w)
+    modelled = order[first - 1 : first - 1 + lbl.MODELLED]
+
+    def score(t):
+        context, total = [lbl.END, lbl.END], 0.0
+        for w in [x.encode() for x in words_of(lower(t))]:
+            s = symbol(w)
+            total += table[context[0], context[1], s]
+            if s >= first:
+                rest = sum(n[x] + 1 for x in order[first - 1 :] if x not in modelled and symbol(x) == s) + 1
+                slot = vocabulary.slot[vocabulary.place[w]] if w in modelled else vocabulary.rest[s - first]
+                total += inner[context[1], slot] + (0 if w in modelled else math.log10((n.get(w, 0) + 1) / rest))
+            context = [context[1], s]
+        return total + table[context[0], context[1], lbl.END]
+
+    got = Counter((r["id"], round(r["score"], 2)) for r in lbl.scores(docs, held, part).collect())
+    assert got == Counter((r["doc_id"], round(score(r["text"]), 2)) for r in docs.collect())
 
 
 def test_url_rules(spark):
@@ -198,6 +234,29 @@ def test_url_rules(spark):
     assert [t for t, *_ in url_rules.index([url_rules.Rule("example.com/en/7", "allow", True)])] == ["example"]
 
 
+def test_thousands_of_url_rules_against_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    names = [f"n{i}" for i in range(400)]
+    rules = list({r.text: r for r in [url_rules.Rule(f"{rng.choice(names)}.example/{rng.choice(names)[:2]}", rng.choice(("block", "allow")), True) for _ in range(600)] + [url_rules.Rule(rng.choice((f"^{x}^", f"/{x}*{rng.choice(names)}/", f"{x}.", f"*{x}-")), rng.choice(("block", "allow")), False) for x in (rng.choice(names) for _ in range(2500))]}.values())
+    urls = [f"http://{rng.choice(('', 'a.', 'B.c.'))}{rng.choice(names)}.example/{rng.choice(names)}/{rng.choice(names)}-x?{rng.choice(names)}" for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(urls), *((1000 + i, urls[0]) for i in range(500))], "page_id long, url string")
+    compiled = [(re.compile(url_rules.regex(r)), r) for r in rules]
+
+    def brute(u):
+        rest = u.partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0]
+        place = host.lower() + re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [(r.host, 0 if r.host else r.verdict == "allow", len(r.text), r.text, r.verdict) for p, r in compiled if p.search(place if r.host else u.lower())]
+        best = max(fits, default=None)
+        return (best[3] if best and best[0] else None, best[4] if best else "allow")
+
+    want = {i: brute(u) for i, u in enumerate(urls)} | {1000 + i: brute(urls[0]) for i in range(500)}
+    assert len({v for v in want.values()}) > 10
+    for limit in (url_rules.BROADCAST_RULES, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
+        assert {r["id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(df, rules).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return lattice.load()
@@ -325,6 +384,29 @@ def test_html_of_pages_that_differ_within_a_host(spark):
     assert [got[100 + i] for i in (0, 1, 2, 3, 299)] == [line.format(x) for x in (0, 1, 2, "x", "x")]
 
 
+def test_differences_of_long_streams(monkeypatch):
+    rng = random.Random(11)
+    for compared in (1 << 22, 40, 0):
+        monkeypatch.setattr(wrappers, "COMPARED", compared)
+        for _ in range(60):
+            a, b = ([rng.choice("abcdef") if rng.random() < 0.8 else f"u{rng.randrange(30)}" for _ in range(rng.randint(0, 40))] for _ in range(2))
+            i = j = 0
+            for op, x, y, z, w in wrappers.differences(a, b):
+                assert (x, z) == (i, j) and (op != "equal" or a[x:y] == b[z:w])
+                i, j = y, w
+            assert (i, j) == (len(a), len(b))
+
+
+def test_html_of_pages_of_many_blocks(spark):
+    line = "Sentence number {} of this page, which goes on for a while."
+    page = "<body><div class=q>Always the same words here.</div>" + "".join(f"<h5>{{0}} part {k}, which is as long as any text.</h5><table></table>" if k % 3 else f"<pre>{{0}} part {k}, which is as long as any text.</pre>" for k in range(3000)) + "<blockquote>" + line.replace("{}", "{0}") + "</blockquote><div class=q>Always the same words here.</div></body>"
+    pages = [(i, f"http://long.example/{i}", page.format(i) if i % 2 else page.format(i).replace("<table></table>", "")) for i in range(6)]
+    got = {r["id"]: r["text"] for r in wrappers.texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i].startswith(f"{i} part 0,") and got[i].endswith(line.format(i)) and "Always" not in got[i] and got[i].count(" part ") == 3000
+    assert len(list(wrappers.slots("<div><b>" * 20_000 + "x" + "</b></div>" * 20_000))) > 20_000
+
+
 def test_wrappers_in_a_join_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.x/{i}", f"<nav>n</nav><p>Text number {i} is here for all to read.</p>") for i in range(30)], "page_id long, url string, html string")
     one = sorted(map(tuple, wrappers.texts(df).collect()))
