@@ -142,11 +142,11 @@ class Engine:
         found, _, text = context.assembled(passages, none, self.config.token_budget, style)
         return found, text
 
-    def generate(self, queries: DataFrame, collection_id: str, generator=context.extractive) -> DataFrame:
+    def generate(self, queries: DataFrame, collection_id: str, generator=None) -> DataFrame:
         """(query_id, answer, status) by a function of (query_id, ref, text); the default takes sentences of the passages."""
         passages, _ = self.context(queries, collection_id)
         met = queries.select("query_id").join(passages.select("query_id", "ref", "text"), "query_id", "left")
-        return generator(met)
+        return (generator or context.extractive)(met)
 
     def verify(self, answers: DataFrame, passages: DataFrame) -> DataFrame:
         """answers (answer_id, answer), passages (answer_id, ref): units with their citations, known and invalid."""

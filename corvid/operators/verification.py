@@ -76,7 +76,7 @@ def ready_to_promote(samples: Column, champion: Column, challenger: Column, clos
 
 #: Characters that close a sentence after its citations.
 CLOSING = ".,;:!?。！？，；：)）"
-_MARKER, _END = re.compile(MARKERS), re.compile(r"[.!?]+[\"'”’)\]]*(?=\s+|$)|[。！？]+")
+_MARKER, _END = re.compile(MARKERS), re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$|\[\s*[PS]\d)|[。！？]+")
 
 
 def units(answer: str) -> Iterator[tuple[int, int, bool]]:

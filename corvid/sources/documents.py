@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.functions.scalar import trim_unicode
+
 #: MIME types by extension.
 EXTENSIONS = {"md": "text/markdown", "html": "text/html", "txt": "text/plain", "pdf": "application/pdf", "epub": "application/epub+zip", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 #: First bytes in hexadecimal, and what they mean.
@@ -211,7 +213,7 @@ def markdown(page: Column) -> Column:
     x = F.regexp_replace(x, "<[^>]*>", "")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \\t]*\\n[ \\t]*", "\n"), "\\n{2,}", "\n\n"))
+    return trim_unicode(F.regexp_replace(F.regexp_replace(x, "[ \\t]*\\n[ \\t]*", "\n"), "\\n{2,}", "\n\n"))
 
 
 #: Preprocessors by name: from content and MIME type to text. "default" passes text on and turns pages to markdown.
