@@ -59,7 +59,7 @@ def k_means(x, k: int, rounds: int = 100, tolerance: float = 1e-4):
     return np.unique(own, return_inverse=True)[1]
 
 
-#: Nodes of a level of one source that one task clusters; a larger level is first cut by sorted ranges of ids.
+#: Nodes of a level of one source that one task clusters; a larger level is first dealt out by a hash of the id.
 CLUSTERED = 4096
 
 

@@ -171,15 +171,11 @@ def registry_records(spark, sf):
     return stores.records(c, _docs(spark, sf)).select("doc_id", "pos", "error", F.when(F.col("error").isNull(), F.sha2("text", 256)).alias("text_hash"))
 
 
-@query(f"""WITH {_STAMPED}, v AS (SELECT * FROM (VALUES ('vector', 512, 64), ('lexical', 512, 64), ('graph', 0, 0)) t(backend, size, overlap)) SELECT 'vector' AS backend, count(*) AS n_chunks, sum(strlen(text)) AS bytes FROM sm UNION ALL
-  SELECT 'lexical', count(*), sum(strlen(text)) FROM sm""".replace(", v AS (SELECT * FROM (VALUES ('vector', 512, 64), ('lexical', 512, 64), ('graph', 0, 0)) t(backend, size, overlap))", ""))
+@query(f"WITH {base._FIXED}, a AS (SELECT count(*) AS n_chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM fixed) SELECT 'vector' AS backend, * FROM a UNION ALL SELECT 'lexical', * FROM a")
 def backend_chunks(spark, sf):
     """Each backend's own chunker; a backend without one takes that of the vectors."""
     c = chunking.by_backend(_docs(spark, sf), {"vector": ("fixed", {}), "lexical": None})
-    return c.groupBy("backend").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.octet_length("text")).cast("decimal(38,0)").alias("bytes")).withColumn("bytes", F.col("bytes").cast("long"))
-
-
-ORACLES["backend_chunks"] = f"WITH {base._FIXED}, a AS (SELECT count(*) AS n_chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM fixed) SELECT 'vector' AS backend, * FROM a UNION ALL SELECT 'lexical', * FROM a"
+    return c.groupBy("backend").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
 @query(f"""WITH {base._FIXED} SELECT doc_id, pos, start, sha256(CASE WHEN doc_id % 2 = 0 THEN 'From ' || source || chr(10) || fixed.text ELSE fixed.text END) AS text_hash FROM fixed JOIN documents USING (doc_id)""")
@@ -462,15 +458,12 @@ def judge_parse(spark, sf):
     return verification.parse_judgement(r).select("answer_id", "error")
 
 
-@query("SELECT l_orderkey AS answer_id, CASE WHEN count(*) FILTER (l_linenumber = 4) = 0 THEN sum(l_suppkey) END AS prompt_tokens, CAST(sum(l_partkey) AS BIGINT) AS completion_tokens FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS answer_id, CASE WHEN count(*) FILTER (l_linenumber = 4) = 0 THEN CAST(sum(l_suppkey) AS BIGINT) END AS prompt_tokens, CAST(sum(l_partkey) AS BIGINT) AS completion_tokens FROM lineitem GROUP BY l_orderkey")
 def token_usage(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer_id"), F.when(F.col("l_linenumber") != 4, F.col("l_suppkey")).alias("prompt_tokens"), F.col("l_partkey").alias("completion_tokens"))
     return verification.token_usage(li, "answer_id", "prompt_tokens", "completion_tokens")
 
 
-ORACLES["token_usage"] = ORACLES["token_usage"].replace("THEN sum(l_suppkey)", "THEN CAST(sum(l_suppkey) AS BIGINT)")
-
-
 def _proof(spark, sf):
     li = table(spark, sf, "lineitem")
     chunk = F.concat("l_partkey", F.lit("-"), "l_suppkey")
@@ -650,9 +643,6 @@ def audit_newest(spark, sf):
     return stores.newest(table(spark, sf, "events"), 100, "ts", "event_id").select("event_id", "event_type")
 
 
-_HISTORY = "vh AS (SELECT o_custkey AS document_id, arg_max(sha256(CAST(o_totalprice AS VARCHAR)), o_orderkey) AS old, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)"
-
-
 def _changes(spark, sf):
     o = table(spark, sf, "orders")
     last = lambda df: df.groupBy(F.col("o_custkey").alias("document_id")).agg(F.max("o_orderkey").alias("k"))
