@@ -491,6 +491,15 @@ def test_toxicity_scores_against_brute_force(spark):
         assert np.allclose(model.features(t.encode()), (np.sort(d - np.median(d))[-5:].sum() / 5, math.log(len(d))))
 
 
+def test_toxicity_of_words_of_thousands_of_characters():
+    rng = random.Random(20)
+    one, two = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)).encode() for _ in range(2))
+    model = toxicity.Model({one: (0, 3), two: (3, 0), b"a": (3, 3), b"b": (2, 4)}, (1000, 900))  # their backoff is below any float
+    assert math.isfinite(model.words[one]) and model.words[one] > 100 and model.words[two] < -100
+    assert math.isclose(model.words[b"b"], math.log((p := model.probabilities((2, 4), toxicity.Spelling([w.decode() for w in model.words])("b")))[1] / p[0]))
+    assert model.features(one + b" a a")[0] > 20 and one not in model.memory
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilething", "vilestuff", "vileness"]
