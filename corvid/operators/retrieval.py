@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.scalar import cosine, doubles, l2_similarity, tokens
+from corvid.functions.scalar import cosine, doubles, tokens
+from corvid.operators import nearest
 from corvid.session import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -143,10 +144,10 @@ def bm25_joined(chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataF
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """vectors (vec_id, embedding), queries (query_id, q): a stated query set against all rows."""
-    score = cosine(F.col("q"), F.col("v")) if metric == "cosine" else l2_similarity(F.col("q"), F.col("v"))
-    pairs = vectors.select("vec_id", doubles(F.col("embedding")).alias("v")).crossJoin(queries.select("query_id", doubles(F.col("q")).alias("q")))
-    return top(pairs.select("query_id", "vec_id", F.round(score, 6).alias("score")), k, F.desc("score"), "vec_id")
+    """vectors (vec_id, embedding), queries (query_id, q): a stated query set against all rows. Every pair is compared, in blocks
+    (see ``nearest``); the scores are those of ``cosine`` and ``l2_similarity``."""
+    found = nearest.candidates(vectors.select("vec_id", F.col("embedding").alias("v"), F.lit(1.0).alias("divisor")), queries, k, metric)
+    return top(found.select("query_id", "vec_id", F.round("score", 6).alias("score")), k, F.desc("score"), "vec_id")
 
 
 def max_sim(query_tokens: Column, row_tokens: Column) -> Column:
@@ -225,6 +226,22 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     wanted = relevant.select("query_id", "item").distinct()
     size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
     r = ranked.join(wanted.withColumn("rel", F.lit(1)), ["query_id", "item"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return _measures(r, size, k)
+
+
+def metrics_by_class(ranked: DataFrame, asked: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``metrics`` where the relevant items of a query are those of its class: asked (query_id, label), items (item, label). A class is
+    counted, not joined, so neither its size nor the number of its queries makes rows."""
+    sets = lambda df, name, to: df.groupBy(name).agg(F.array_sort(F.collect_set("label")).alias(to))
+    q, i = sets(asked, "query_id", "own"), sets(items, "item", "of")
+    met = q.select("own").distinct().crossJoin(F.broadcast(i.groupBy("of").agg(F.count(F.lit(1)).alias("n")))).where(F.arrays_overlap("own", "of"))
+    size = q.join(met.groupBy("own").agg(F.sum("n").alias("n_rel")), "own").select("query_id", "n_rel")
+    r = ranked.join(q, "query_id", "left").join(i, "item", "left").withColumn("rel", F.coalesce(F.arrays_overlap("own", "of"), F.lit(False)).cast("int"))
+    return _measures(r, size, k)
+
+
+def _measures(r: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """Metrics of r (query_id, item, rank, rel) and size (query_id, n_rel)."""
     here = (F.col("rank") <= k) & (F.col("rel") == 1)
     per = r.groupBy("query_id").agg(
         F.max(F.when(here, 1).otherwise(0)).alias("hit"),

@@ -1,6 +1,8 @@
+import random
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,42 @@ def test_ready_to_promote(spark):
     df = spark.createDataFrame([(50, 0.5, 0.6, False), (49, 0.5, 0.9, False), (99, 0.5, 0.55, None), (99, 0.5, 0.9, True), (99, None, 0.9, False)], "n int, a double, b double, closed boolean")
     got = df.select(verification.ready_to_promote(F.col("n"), F.col("a"), F.col("b"), F.col("closed")).alias("r")).collect()
     assert [r["r"] for r in got] == [True, False, False, False, False]
+
+
+@pytest.mark.parametrize("k, sizes", [(10, {}), (3, {"ROWS": 40, "FIRST": 8, "BLOCK": 16, "CELLS": 64, "SCORED": 64, "CARRIED": 20}), (300, {"FIRST": 32})])
+def test_nearest_rows_against_all_pairs(spark, monkeypatch, k, sizes):
+    from corvid.operators import nearest
+
+    for name, n in sizes.items():
+        monkeypatch.setattr(nearest, name, n)
+    rng = random.Random(k)
+    fresh = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    base = [[round(x, 1) for x in fresh()] for _ in range(30)]
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0] * 6, [1.0, None, 2.0, 0.0, 0.0, 0.0], [1.0, 2.0], [-1.0, 0.5], [nan] * 6, [inf] + [1.0] * 5, [1e200] * 6, [1e-200] * 6, [1e20] * 6, [-1e20] * 6, [3e7] * 6, [3e7 + 1] * 6, [nan, 1.0]]
+    v = spark.createDataFrame([(i, rng.choice(base) if i % 2 else fresh()) for i in range(300)] + [(1000 + i, x) for i, x in enumerate(odd * 3)] + [(None, base[0])], "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, rng.choice(base)) for i in range(20)] + [(100 + i, x) for i, x in enumerate(odd)], "query_id long, q array<double>")
+    pairs = v.select("vec_id", scalar.doubles(F.col("embedding")).alias("v")).crossJoin(q)
+    for metric, score in (("cosine", scalar.cosine), ("l2", scalar.l2_similarity)):
+        want = retrieval.top(pairs.select("query_id", "vec_id", F.round(score(F.col("q"), F.col("v")), 6).alias("score")), k, F.desc("score"), "vec_id")
+        assert sorted(map(repr, retrieval.knn(v, q, k, metric).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_nearest_rows_of_many_queries_in_time(spark):
+    import time
+
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(20_000, 64)).tolist())], "vec_id long, embedding array<double>").repartition(4).cache()
+    v.count()
+    began = time.time()
+    assert retrieval.knn(v, v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).count() == 20_000
+    assert time.time() - began < 30  # 40 million pairs
+
+
+def test_metrics_by_class_are_those_of_the_pairs(spark):
+    rng = random.Random(8)
+    ranked = spark.createDataFrame([(q, rng.randrange(60), r) for q in range(30) for r in range(1, 8)], "query_id long, item long, rank int")
+    items = spark.createDataFrame([(i % 60, rng.choice([0, 1, 2, None])) for i in range(80)], "item long, label int")
+    asked = spark.createDataFrame([(q % 33, rng.choice([0, 1, 2, 9, None])) for q in range(40)], "query_id long, label int")
+    pairs = asked.join(items, "label").select("query_id", "item")
+    assert rows(retrieval.metrics_by_class(ranked, asked, items, 5).orderBy("query_id")) == rows(retrieval.metrics(ranked, pairs, 5).orderBy("query_id"))
