@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.functions.scalar import cosine, doubles
+from corvid.functions.scalar import doubles
+from corvid.operators import nearest
 from corvid.operators.retrieval import top
 
 MAX_DEPTH = 3
@@ -132,7 +133,6 @@ def kinds(hits: DataFrame, nodes: DataFrame, registry: DataFrame) -> DataFrame:
 def search(nodes: DataFrame, queries: DataFrame, k: int = 10, max_depth: int = MAX_DEPTH) -> DataFrame:
     """nodes (node, level, vector) of all levels up to ``max_depth``, queries (query_id, q): a stated query set against
     all nodes. Similarity counts 1 / (1 + level), so leaves come before what summarises them."""
-    left = nodes.where(F.col("level") <= max_depth).select("node", "level", doubles(F.col("vector")).alias("v"))
-    pairs = left.crossJoin(queries.select("query_id", doubles(F.col("q")).alias("q")))
-    score = F.round(cosine(F.col("q"), F.col("v")) / (1 + F.col("level")), 6)
-    return top(pairs.select("query_id", "node", "level", score.alias("score")), k, F.desc("score"), "node")
+    left = nodes.where(F.col("level") <= max_depth).select("node", "level", F.col("vector").alias("v"), (1 + F.col("level")).alias("divisor"))
+    found = nearest.candidates(left, queries, k)
+    return top(found.select("query_id", "node", "level", F.round("score", 6).alias("score")), k, F.desc("score"), "node")
