@@ -104,8 +104,7 @@ def experiment_ready(spark, sf):
 def retrieval_metrics(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
     ranked = knn_cosine_top10(spark, sf).select("query_id", F.col("vec_id").alias("item"), "rank")
-    relevant = v.where("item % 50 = 0").select(F.col("item").alias("query_id"), "label").join(v, "label").select("query_id", "item")
-    return retrieval.metrics(ranked, relevant, 5)
+    return retrieval.metrics_by_class(ranked, v.where("item % 50 = 0").select(F.col("item").alias("query_id"), "label"), v, 5)
 
 
 def _hits(spark, sf):
