@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvid.functions import scalar
 from corvid.operators import chunking, context, graph, lifecycle, retrieval, search, stores, tree, verification
 from corvid.plans import registry as base
-from corvid.session import table
+from corvid.session import table, written
 from corvid.sources import documents as sources
 
 QUERIES: dict[str, Callable] = {}
@@ -261,7 +261,8 @@ def _lists(spark, sf) -> DataFrame:
     two = base.knn_l2_top10(spark, sf).withColumn("strategy", F.lit("l2"))
     h = one.unionByName(two).withColumn("query_index", F.explode(F.array(F.lit(0), F.lit(1))))
     score = F.when(F.col("query_index") == 0, -F.col("rank")).otherwise(F.col("rank")).cast("double")
-    return h.select("query_id", "query_index", "strategy", (F.col("vec_id") % 100).alias("doc_id"), F.col("vec_id").alias("chunk"), score.alias("score"))
+    # Fusion reads the lists twice; the searches behind them run once.
+    return written(h.select("query_id", "query_index", "strategy", (F.col("vec_id") % 100).alias("doc_id"), F.col("vec_id").alias("chunk"), score.alias("score")))
 
 
 _LISTS = f"""{base._COS}, k2 AS (SELECT q.vec_id AS query_id, v.vec_id, round(1 / (1 + list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) ** 2), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
