@@ -49,7 +49,7 @@ ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7))
 FAN_IN = 16
 END = 0
 #: Words of the classes that have vectors of their own, noise for each when they are trained, and the rounds that train them.
-MODELLED, INNER_NOISE, INNER_ROUNDS = 20_000, 6, (0,)
+MODELLED, INNER_NOISE, INNER_ROUNDS = 20_000, 6, (0, 1, 2)
 #: Words that a task counts before it passes the counts on.
 COUNTED = 200_000
 

@@ -222,6 +222,11 @@ def test_language_model_scores_of_texts_against_its_model(spark, monkeypatch):
     assert got == Counter((r["doc_id"], round(score(r["text"]), 2)) for r in docs.collect())
 
 
+def test_all_vectors_of_the_language_model_learn_from_all_texts():
+    for rounds in (range(len(lbl.ROUNDS)), lbl.INNER_ROUNDS):
+        assert sorted(part for turn in rounds for part in lbl.ROUNDS[turn]) == list(range(8))
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/71?x", "https://example.com/en/8", "x://m.net/de/", "y://b.example.net/de/81#t", "https://net/de", "http://a.org/es/1", None, "no scheme com/en/", "", "http://m.casino-win.example.com/fr/1", "http://casinos.example.com/fr/1", "a://b.com/en/://c", "http://xcom/en/"]
     want = [("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "block"), ("example.net/de/8", "block"), (None, "allow"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), ("com/en/", "block"), (None, "allow")]
