@@ -6,24 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.operators.stores import chunk_id
+from corvid.session import written
 
 #: The confidence of an extracted relation, and the seeds of a query that names none.
 CONFIDENCE, SEEDS = 0.9, 100
 _EXTRACTED = "entities array<struct<name:string,entity_type:string>>, relations array<struct<source:string,relation:string,target:string>>"
 
 
+#: Nodes up to which a frontier travels to the edges, nodes that a query's row carries, parts of a join on a class of queries.
+CARRIED, LISTED, SALTS = 200_000, 64, 8
+
+
+def _around(near: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The edges from nodes of ``frontier``: where these are few, the others are left out before anything is dealt out."""
+    nodes = frontier.select(F.col("node").alias("src")).distinct()
+    return near.join(F.broadcast(nodes), "src", "left_semi") if nodes.count() <= CARRIED else near
+
+
+def _reach(edges: DataFrame, seeds: DataFrame, max_hops: int) -> tuple[DataFrame, ...]:
+    """seen (query_id, node, hops) of fewer than ``max_hops`` hops; of the last hop members (query_id, cls), reach (cls, node) and gone
+    (query_id, node): a query reaches the nodes of its class that are not gone for it, since it has seen them before.
+
+    Queries of equal frontiers are a class; what they reach is found and kept once. A class is named by two hashes of its nodes."""
+    near = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src")))
+    seen = frontier = written(seeds.select("query_id", "node").distinct().withColumn("hops", F.lit(0)))
+    for hop in range(1, max_hops):
+        reached = frontier.join(_around(near, frontier), F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node")).distinct()
+        frontier = written(reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+    name = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node")))
+    members = written(frontier.groupBy("query_id").agg(name.alias("cls")))
+    own = members.withColumnRenamed("query_id", "q")
+    fronts = frontier.join(own, F.col("query_id").eqNullSafe(F.col("q"))).select("cls", "node").distinct()
+    reach = written(fronts.join(_around(near, frontier), F.col("node") == F.col("src")).select("cls", F.col("dst").alias("node")).distinct())
+    gone = written(seen.select("query_id", "node").join(members, "query_id").join(reach, ["cls", "node"]).select("query_id", "node"))
+    return seen, members, reach, gone
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
     """(query_id, node, hops): smallest number of undirected edges (src, dst) from a query's seeds (query_id, node).
 
-    One equi-join with the adjacency for each hop; only the frontier, the nodes first reached in the hop before, goes on."""
-    near = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
-    seen = seeds.select("query_id", "node").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        reached = frontier.join(near, frontier["node"] == near["src"]).select("query_id", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen
+    One equi-join with the adjacency for each hop; only the frontier, the nodes first reached in the hop before, goes on. The rows
+    of the last hop are the result's bulk: they are made from the classes of queries as they are put out, and not dealt out again."""
+    if max_hops < 1:
+        return seeds.select("query_id", "node").distinct().withColumn("hops", F.lit(0))
+    seen, members, reach, gone = _reach(edges, seeds, max_hops)
+    packed = gone.groupBy("query_id").agg(F.collect_list("node").alias("gone"))
+    few = (gone.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) <= LISTED
+    rows = members.join(packed, "query_id", "left") if few else members
+    spread = reach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    last = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")).join(spread, ["cls", "salt"])
+    last = last.where(F.coalesce(~F.array_contains("gone", F.col("node")), F.lit(True))) if few else last.join(gone, ["query_id", "node"], "left_anti")
+    return seen.unionByName(last.select("query_id", "node", F.lit(max_hops).alias("hops")))
 
 
 def hop_decay(reached: DataFrame, sources: DataFrame) -> DataFrame:
@@ -31,6 +65,20 @@ def hop_decay(reached: DataFrame, sources: DataFrame) -> DataFrame:
     return reached.join(sources, "node").groupBy("query_id", "chunk").agg(F.round(F.sum(1 / (1 + F.col("hops"))), 6).alias("score"))
 
 
+def decayed(edges: DataFrame, seeds: DataFrame, sources: DataFrame, max_hops: int = 2) -> DataFrame:
+    """``hop_decay`` of ``bfs``, from the numbers of nodes that cite a chunk, by query or class of queries and hop: the rows that each
+    query reaches are counted and never made."""
+    if max_hops < 1:
+        return hop_decay(bfs(edges, seeds, 0), sources)
+    seen, members, reach, gone = _reach(edges, seeds, max_hops)
+    cites = lambda df, *by: df.join(sources, "node").groupBy(*by, "chunk").agg(F.count(F.lit(1)).alias("n"))
+    last = F.lit(max_hops).alias("hops")
+    all_of = cites(reach, "cls").join(members, "cls").select("query_id", "chunk", last, "n")
+    counts = cites(seen, "query_id", "hops").select("query_id", "chunk", "hops", "n").unionByName(all_of).unionByName(cites(gone, "query_id").select("query_id", "chunk", last, (-F.col("n")).alias("n")))
+    each = counts.groupBy("query_id", "chunk", "hops").agg(F.sum("n").alias("n")).where("n > 0")
+    return each.groupBy("query_id", "chunk").agg(F.round(F.sum(F.col("n") / (1 + F.col("hops"))), 6).alias("score"))
+
+
 def merge_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """One row for each (source, type, target) whose ends exist: highest confidence, union of chunks in order."""
     ends = entities.select("node").distinct()

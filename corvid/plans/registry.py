@@ -141,14 +141,17 @@ def _edges(spark, sf):
     return c.union(n).union(s).union(o).union(l)
 
 
+def _seeds(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
+
+
 def graph_bfs(spark, sf):
-    seeds = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    return graph.bfs(_edges(spark, sf), seeds, 2)
+    return graph.bfs(_edges(spark, sf), _seeds(spark, sf), 2)
 
 
 def graph_hop_decay(spark, sf):
     sources_ = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_mktsegment").alias("chunk"))
-    return graph.hop_decay(graph_bfs(spark, sf), sources_)
+    return graph.decayed(_edges(spark, sf), _seeds(spark, sf), sources_, 2)
 
 
 def document_dedup(spark, sf):

@@ -236,3 +236,38 @@ def test_metrics_by_class_are_those_of_the_pairs(spark):
     asked = spark.createDataFrame([(q % 33, rng.choice([0, 1, 2, 9, None])) for q in range(40)], "query_id long, label int")
     pairs = asked.join(items, "label").select("query_id", "item")
     assert rows(retrieval.metrics_by_class(ranked, asked, items, 5).orderBy("query_id")) == rows(retrieval.metrics(ranked, pairs, 5).orderBy("query_id"))
+
+
+@pytest.mark.parametrize("listed, carried", [(64, 200_000), (0, 0)])
+def test_graph_search_against_brute_force(spark, monkeypatch, listed, carried):
+    monkeypatch.setattr(graph, "LISTED", listed)
+    monkeypatch.setattr(graph, "CARRIED", carried)
+    rng = random.Random(12)
+    e = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(35)] + [("n1", "n1"), ("n2", "n3"), ("n2", "n3")] + [(f"s{i}", "hub") for i in range(6)]
+    s = [(q, f"n{rng.randrange(34)}") for q in range(12) for _ in range(q % 3 + 1)] + [(20 + i, f"s{i}") for i in range(6)] + [(20, "s0")]
+    c = [(f"n{i}", f"c{i % 4}") for i in range(30)] + [("s1", "c1"), ("s1", "c1"), ("hub", "c9")]
+    edges, seeds, cited = spark.createDataFrame(e, "src string, dst string"), spark.createDataFrame(s, "query_id long, node string"), spark.createDataFrame(c, "node string, chunk string")
+    near = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for hops in (0, 1, 2, 3):
+        want = {(q, n): 0 for q, n in s}
+        for h in range(1, hops + 1):
+            for (q, n), _ in list(want.items()):
+                if want[q, n] == h - 1:
+                    for m in near.get(n, ()):
+                        want.setdefault((q, m), h)
+        assert rows(graph.bfs(edges, seeds, hops)) == sorted((q, n, h) for (q, n), h in want.items())
+        scores = {}
+        for (q, n), h in want.items():
+            for m, chunk in c:
+                if m == n:
+                    scores[q, chunk] = scores.get((q, chunk), 0) + 1 / (1 + h)
+        assert {(r[0], r[1]): r[2] for r in graph.decayed(edges, seeds, cited, hops).collect()} == {k: round(x, 6) for k, x in scores.items()}
+
+
+def test_searched_rows_of_equal_frontiers_are_found_once(spark):
+    edges = spark.createDataFrame([(f"s{i}", "hub") for i in range(200)] + [("hub", f"x{i}") for i in range(300)], "src string, dst string")
+    _, members, reach, gone = graph._reach(edges, spark.createDataFrame([(i, f"s{i}") for i in range(200)], "query_id long, node string"), 2)
+    assert (members.count(), reach.count(), gone.count()) == (200, 500, 200)  # of 200 * 500 rows reached
