@@ -10,8 +10,9 @@ How links are found: equal fingerprints (equal sets) are one row from the start,
 compared only within blocks that share a key. For a small radius the 64 bits are cut into ``radius + 2`` parts; two
 fingerprints within the radius agree on at least two parts, so every pair of parts gives a key and no pair is missed. A
 similarity of 0.8 leaves some 10 of 64 bits different, where such keys tell nothing apart; there the keys are ``BANDS``
-bands of ``ROWS`` minimum hashes of the shingles each (a pair of similarity 0.8 shares one with a chance of 0.998, of 0.9
-with one of 1 - 1e-6), the bit-sliced comparison within ``WIDE`` bits leaves the candidates, and each is checked exactly.
+bands of ``ROWS`` minimum hashes of the shingles each, the bit-sliced comparison within ``WIDE`` bits leaves candidates, and
+each is checked on whole sets. That joins large groups cheaply and can miss links, so ``candidates`` then finds every pair
+of sets not joined yet that can meet the threshold, by the rarest shingles of each, and these are checked on whole sets too.
 
 In a block the fingerprints are stored as 64 vertical bit planes, once. Rows are compared with the rows ``d`` places on, for
 all rows at a time: planes are shifted by ``d`` bits, exclusive-or gives 64 planes of differences, carry-save counters add
@@ -33,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.llm import common
@@ -53,6 +54,8 @@ EDGES = 1 << 20
 SALTS = 16
 #: Block keys for a similarity, hashes in each, and the radius within which fingerprints are candidates.
 BANDS, ROWS, WIDE = 16, 5, 20
+#: Texts up to which their numbers travel to the table of texts; what rounding may take from a bound.
+CARRIED, SLACK = 200_000, 1e-6
 _MULTIPLY = (np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -275,7 +278,7 @@ def links(blocks: DataFrame, radius: int) -> DataFrame:
     if large.isEmpty():
         return edges.distinct()
     # Tile pairs of the large groups: a row goes to each of its group's tiles; the join is dealt out by tile too.
-    sizes = large.where("u is null").select("grp", F.col("tile").alias("tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    sizes = large.where("u is null").select("grp", F.col("tile").alias("tiles"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     rows = large.where("u is not null").withColumn("salt", F.col("tile") % SALTS).join(sizes, ["grp", "salt"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).cast("long")
@@ -356,6 +359,100 @@ def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns of batches sorted by the first, in parts that hold each of its values whole."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = np.stack([np.asarray(b.column(i)) for i in range(b.num_columns)])
+        last = int(np.searchsorted(part[0], part[0][-1], "left"))
+        if held and (last or held[-1][0, -1] != part[0, 0]):  # what is held ends in this part, or before it
+            until = int(np.searchsorted(part[0], held[-1][0, -1], "right"))
+            held.append(part[:, : max(until, last)])
+            yield np.concatenate(held, axis=1)
+            held, part = [], part[:, max(until, last) :]
+        elif last:
+            yield part[:, :last]
+            part = part[:, last:]
+        if part.shape[1]:
+            held.append(part)
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def crossing(root: np.ndarray, size: np.ndarray, rest: np.ndarray, least: float, brief: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of pairs of a block that have different roots and may meet the threshold; ``brief``: one of a row and the
+    rows of each other root, drawn at random, instead of all. Rows are of ascending size."""
+    half = least / (1 + least)
+    names, counts = np.unique(root, return_counts=True)
+    main = root == names[np.argmax(counts)]  # rows of the commonest root meet the others only
+    small = rest >= 2 * half * size - SLACK
+    for turned, a, b in ((False, np.flatnonzero(small & ~main), np.arange(len(root))), (True, np.flatnonzero(small & main), np.flatnonzero(~main))):
+        low = np.searchsorted(size[b], size[a], "left")
+        n = np.searchsorted(size[b], size[a] / least + SLACK, "right") - low
+        turns = np.cumsum(n) // PAIRS
+        for turn in np.unique(turns):
+            own = np.flatnonzero(turns == turn)
+            x = np.repeat(a[own], n[own])
+            y = b[np.arange(len(x)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + np.repeat(low[own], n[own])]
+            fits = (root[x] != root[y]) & (np.minimum(rest[x], rest[y]) >= half * (size[x] + size[y]) - SLACK)
+            x, y = x[fits], y[fits]
+            if brief and len(x):
+                mixed = np.random.default_rng(int(size.sum()) + len(x)).permutation(len(x))
+                x, y = x[mixed], y[mixed]
+                chosen = np.unique(np.stack((y, root[x]) if turned else (x, root[y])), axis=1, return_index=True)[1]
+                x, y = x[chosen], y[chosen]
+            yield x, y
+
+
+def prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Block rows (h, node, size, rest) of (node, text), sets of shingles that all differ, from which ``candidates`` finds all
+    pairs that may have a similarity of ``least`` or more.
+
+    All shingles are put in one order, the rarest first. Of two sets that meet the threshold, take the first shingle that both
+    have: what both share is not before it, so ``rest``, the shingles of a set from there on, is at least ``least`` of the set's,
+    2 ``least`` / (1 + ``least``) of the smaller set's, and in both at least ``least`` / (1 + ``least``) of the sum of sizes. So
+    the blocks are the shingles of at least two sets, and a set is in those that leave enough of it."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(x, shingle)).view(np.int64) for x in common.as_bytes(b.column(1))]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            nodes = np.asarray(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.int64)])), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(sizes, sizes))], ["h", "node", "size"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches):
+            starts = np.flatnonzero(np.diff(part[0], prepend=~part[0][:1]))
+            times = np.diff(np.append(starts, part.shape[1]))
+            times = np.repeat(times, times)
+            yield pa.RecordBatch.from_arrays([pa.array(x[times > 1]) for x in (*part, times)], ["h", "node", "size", "times"])
+
+    shared = common.map_batches(common.map_batches(texts.select("node", "text"), spread, "h long, node long, size long").repartition("h").sortWithinPartitions("h"), met, "h long, node long, size long, times long")
+    rest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.desc("h"))).cast("long")
+    return common.checkpoint(shared.withColumn("rest", rest).where(F.col("rest") >= F.lit(least) * F.col("size") - F.lit(SLACK)))
+
+
+def candidates(prefix: DataFrame, roots: DataFrame, least: float, brief: bool = False) -> DataFrame:
+    """The pairs (u, v) of rows of ``prefixes`` that may meet the threshold and are not in one component of ``roots`` (node,
+    root): all of them, none is missed, or if ``brief`` a few of each node and component."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches):
+            starts = np.flatnonzero(np.diff(part[0], prepend=~part[0][:1]))
+            several = np.minimum.reduceat(part[2], starts) != np.maximum.reduceat(part[2], starts)
+            ends = np.append(starts[1:], part.shape[1])
+            for i, j in zip(starts[several], ends[several]):
+                _, node, root, size, rest = part[:, i:j][:, np.argsort(part[3, i:j], kind="stable")]
+                for a, b in crossing(root, size, rest, least, brief):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["u", "v"])
+
+    rows = prefix.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "size", "rest")
+    return common.checkpoint(common.map_batches(rows.repartition("h").sortWithinPartitions("h"), compared, "u long, v long").distinct())
+
+
 def similar(df: DataFrame, number: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(number, first) of every row of ``df``, whose column ``number`` is a different long in each row: first is the number
     of the row that stands for its component, that of smallest id, of equal ids of smallest number, null ids last."""
@@ -377,12 +474,24 @@ def similar(df: DataFrame, number: str, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col("node").alias("n"))
     distinct = marks.groupBy("one", "two").agg(F.min(place).alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys")).withColumn("node", F.col("low.n"))
     distinct = common.checkpoint(distinct)  # of equal sets the fingerprints may differ, by repeats: any will do
-    found = common.checkpoint(links(distinct.select("fp", "node", F.explode("keys").alias("grp")), WIDE))
-    wanted = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = common.checkpoint(common.map_batches(texts.join(wanted, "node", "left_semi").select("node", "text"), gather, "node long, own array<long>"))
-    pairs = found.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    edges = pairs.where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+    def linked(found: DataFrame) -> DataFrame:
+        """The pairs (u, v) that meet the threshold, by whole sets."""
+        wanted = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= CARRIED else wanted
+        sets = common.checkpoint(common.map_batches(texts.join(wanted, "node", "left_semi").select("node", "text"), gather, "node long, own array<long>"))
+        pairs = found.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return common.checkpoint(pairs.where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+
+    first = linked(common.checkpoint(links(distinct.select("fp", "node", F.explode("keys").alias("grp")), WIDE)))
+    copies = marks.select("node").join(distinct.select("node"), "node", "left_anti")
+    few = copies.count() <= CARRIED  # then the texts stay where they are
+    own = texts.join(F.broadcast(copies), "node", "left_anti") if few else texts.join(distinct.select("node").hint("merge"), "node", "left_semi")
+    # A few pairs of each text and component link most of what is alike, so the last turn, over all pairs, has few to try.
+    prefix, edges = prefixes(own, shingle, least), first
+    for brief in (True, False):
+        edges = edges.unionByName(linked(candidates(prefix, components(edges), least, brief)))
     named = _named(distinct.select("one", "two", "low", "node"), edges, ["one", "two"], F.col("low"))
     return marks.join(named, ["one", "two"]).select(F.col("node").alias(number), F.col("first.n").alias("first"))
 

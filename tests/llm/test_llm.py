@@ -158,6 +158,45 @@ def test_similar_texts_against_brute_force(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_similar_texts_that_share_no_band_or_differ_in_many_bits_are_linked(spark):
+    pairs, missed = [], []
+    for i in range(3000):  # four shingles of five in common: the similarity is 0.8
+        words = [f"w{i}x{k}" for k in range(9)]
+        a, b = (simhash.shingles(" ".join(words[:n]).encode(), 5) for n in (8, 9))
+        if not set(simhash.bands(a)) & set(simhash.bands(b)) or (simhash.majority(a) ^ simhash.majority(b)).bit_count() > simhash.WIDE:
+            missed.append(i)
+        pairs += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    assert missed
+    kept = [x for i in missed for x in pairs[2 * i : 2 * i + 2]]
+    # A frequent passage in texts that are not alike, and texts just below the similarity.
+    line = " ".join(f"l{k}" for k in range(30))
+    kept += [(10_000 + i, f"{line} " + " ".join(f"o{i}x{k}" for k in range(8 + i % 3))) for i in range(40)]
+    df = spark.createDataFrame([(*x, n) for n, x in enumerate(kept)], "doc_id long, text string, n long")
+    got = {r["n"]: r["first"] for r in simhash.similar(df, "n").collect()}
+    assert got == {n: n - n % 2 if n < 2 * len(missed) else n for n in range(len(kept))}
+
+
+def test_candidates_against_all_pairs(spark):
+    rng = random.Random(9)
+    base = [[rng.choice(WORDS[:6]) for _ in range(rng.choice((3, 5, 7, 12, 30, 60)))] for _ in range(25)]
+    texts = [" ".join(w if rng.random() > 0.02 else rng.choice(WORDS) for w in words[: len(words) - rng.randrange(3)]) for words in base for _ in range(8)]
+    sets = {}
+    for x in texts:
+        sets.setdefault(frozenset(simhash.shingles(x.encode(), 2).tolist()), x)
+    for least in (0.5, 0.8, 0.9):
+        want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= least * len(a | b)}
+        df = spark.createDataFrame(list(enumerate(sets.values())), "node long, text string")
+        prefix, roots = simhash.prefixes(df, 2, least), spark.createDataFrame([(1, 0), (2, 0)], "node long, root long")
+        found, few = (set(map(tuple, simhash.candidates(prefix, roots, least, brief).collect())) for brief in (False, True))
+        assert want - {(0, 1), (0, 2), (1, 2)} <= found and few <= found
+
+
+def test_groups_of_more_rows_than_a_tile_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    blocks = spark.createDataFrame([(7, 1 << (n % 3), n) for n in range(20)], "grp long, fp long, node long")
+    assert simhash.components(simhash.links(blocks, 2)).where("root = 0").count() == 19
+
+
 def test_language_model(spark):
     docs = documents(spark)
     held = common.remainder(F.col("id"), 7) == 2
