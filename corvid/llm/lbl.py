@@ -107,6 +107,7 @@ class Model:
         rng = np.random.default_rng(7)
         self.p = [rng.normal(0, 0.1, (SYMBOLS, DIMENSION)), np.eye(DIMENSION) * 0.7, np.eye(DIMENSION) * 0.5, rng.normal(0, 0.1, (SYMBOLS, DIMENSION)), np.log(unigram)]
         self.unigram, self.slot_class, self.slot_mass = unigram, slot_class, slot_mass
+        self.sums, self.starts = np.concatenate(([0.0], np.cumsum(slot_mass))), np.searchsorted(slot_class, np.arange(CLASSES + 1))
         share = slot_mass / np.bincount(slot_class, slot_mass, CLASSES)[slot_class]
         self.p += [rng.normal(0, 0.3, (SYMBOLS, DIMENSION)), np.zeros((len(slot_class), DIMENSION)), np.log(share)]
 
@@ -167,10 +168,13 @@ class Model:
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), SYMBOLS - 1)
             q = (r @ ma)[a] + (r @ mb)[b]
             up = 1 / (1 + np.exp((q * v[w]).sum(axis=1) + c[w] - log_noise[w]))
-            down = -1 / (1 + np.exp(-(q @ v[noise].T + c[noise] - log_noise[noise])))
-            dq = up[:, None] * v[w] + down @ v[noise]
+            down = q.astype(np.float32) @ (-v[noise].T).astype(np.float32) - (c[noise] - log_noise[noise]).astype(np.float32)
+            np.exp(down, out=down)  # single precision, in place: it is most of the arithmetic
+            down += 1
+            np.divide(-1, down, out=down)
+            dq = up[:, None] * v[w] + down @ v[noise].astype(np.float32)
             dv, dc = scatter(w, up[:, None] * q), np.bincount(w, up, SYMBOLS)
-            np.add.at(dv, noise, down.T @ q)
+            np.add.at(dv, noise, down.T @ q.astype(np.float32))
             np.add.at(dc, noise, down.sum(axis=0))
             da, db = scatter(a, dq), scatter(b, dq)
             for i, g in enumerate((da @ ma.T + db @ mb.T, r.T @ da, r.T @ db, dv, dc)):
@@ -184,8 +188,7 @@ class Model:
     def _inner(self, b, slots, rng, squares) -> None:
         """One step for words of classes: the noise of a word is drawn from its class by count."""
         i, u, d = self.p[5:]
-        sums = np.concatenate(([0.0], np.cumsum(self.slot_mass)))
-        starts = np.searchsorted(self.slot_class, np.arange(CLASSES + 1))
+        sums, starts = self.sums, self.starts
         low, high = sums[starts[self.slot_class[slots]]], sums[starts[self.slot_class[slots] + 1]]
         drawn = np.searchsorted(sums, low[:, None] + rng.random((len(slots), INNER_NOISE)) * (high - low)[:, None], "right") - 1
         drawn = np.clip(drawn, starts[self.slot_class[slots]][:, None], starts[self.slot_class[slots] + 1][:, None] - 1)
@@ -195,21 +198,25 @@ class Model:
         z = np.einsum("nd,nkd->nk", q, v) + d[each] - log_noise
         pull = -1 / (1 + np.exp(-z))
         pull[:, 0] += 1
-        rows, at = np.unique(each, return_inverse=True)
-        at = at.reshape(each.shape)
-        dv = np.bincount((at[:, :, None] * DIMENSION + np.arange(DIMENSION)).ravel(), (pull[:, :, None] * q[:, None, :]).ravel(), len(rows) * DIMENSION).reshape(len(rows), DIMENSION)
-        dd = np.bincount(at.ravel(), pull.ravel(), len(rows))
+        met = np.zeros(len(self.slot_mass), bool)
+        met[each] = True
+        rows = np.flatnonzero(met)
+        place = np.empty(len(met), np.int64)
+        place[rows] = np.arange(len(rows))
+        at = place[each].ravel()
+        dv = np.stack([np.bincount(at, (pull * x[:, None]).ravel(), len(rows)) for x in np.ascontiguousarray(q.T)], axis=1)
+        dd = np.bincount(at, pull.ravel(), len(rows))
         di = scatter(b, np.einsum("nk,nkd->nd", pull, v))
         for k, g, where in ((5, di, slice(None)), (6, dv, rows), (7, dd, rows)):
             g = g / len(b)
-            squares[k][where] += g * g
-            self.p[k][where] = self.p[k][where] + RATE * g / np.sqrt(squares[k][where])
+            total = squares[k][where] + g * g
+            squares[k][where] = total
+            self.p[k][where] += RATE * g / np.sqrt(total)
 
 
 def scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of the values of each symbol."""
-    at = (rows[:, None] * DIMENSION + np.arange(DIMENSION)).ravel()
-    return np.bincount(at, values.ravel(), SYMBOLS * DIMENSION).reshape(SYMBOLS, DIMENSION)
+    return np.stack([np.bincount(rows, x, SYMBOLS) for x in np.ascontiguousarray(values.T)], axis=1)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
