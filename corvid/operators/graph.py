@@ -55,7 +55,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
     few = (gone.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) <= LISTED
     rows = members.join(packed, "query_id", "left") if few else members
     spread = reach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    last = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")).join(spread, ["cls", "salt"])
+    # Each reached node meets the queries of its class, so equal nodes are adjacent and a file of the result stores them once a run.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
+    last = spread.join(salted.hint("merge"), ["cls", "salt"])
     last = last.where(F.coalesce(~F.array_contains("gone", F.col("node")), F.lit(True))) if few else last.join(gone, ["query_id", "node"], "left_anti")
     return seen.unionByName(last.select("query_id", "node", F.lit(max_hops).alias("hops")))
 

@@ -271,3 +271,13 @@ def test_searched_rows_of_equal_frontiers_are_found_once(spark):
     edges = spark.createDataFrame([(f"s{i}", "hub") for i in range(200)] + [("hub", f"x{i}") for i in range(300)], "src string, dst string")
     _, members, reach, gone = graph._reach(edges, spark.createDataFrame([(i, f"s{i}") for i in range(200)], "query_id long, node string"), 2)
     assert (members.count(), reach.count(), gone.count()) == (200, 500, 200)  # of 200 * 500 rows reached
+
+
+def test_bfs_puts_out_the_last_hop_in_runs_of_equal_nodes(spark):
+    from corvid.operators import graph
+
+    edges = spark.createDataFrame([*((f"s{i}", "hub") for i in range(80)), *((f"c{i}", "hub") for i in range(200))], "src string, dst string")
+    seeds = spark.createDataFrame([(i, f"s{i}") for i in range(80)], "query_id long, node string")
+    got = [r for r in graph.bfs(edges, seeds, 2).collect() if r["hops"] == 2]
+    assert len({(r["query_id"], r["node"]) for r in got}) == len(got) == 80 * 279
+    assert sum(a["node"] != b["node"] for a, b in zip(got, got[1:])) < len(got) / 4
