@@ -428,6 +428,27 @@ def test_html_of_pages_that_differ_within_a_host(spark):
     assert [got[100 + i] for i in (0, 1, 2, 3, 299)] == [line.format(x) for x in (0, 1, 2, "x", "x")]
 
 
+def test_expressions_come_from_all_pages_of_a_host(spark, monkeypatch):
+    line = "Sentence number {} of this page, which goes on for a while."
+    often = [(i, f"http://f.example/{i}", f"<body><h4>{line}</h4></body>".format(i)) for i in range(200)]
+    rare = [(1000 + i, f"http://f.example/{i}", f"<body><div>{line}</div><hr><div>The same line on all pages of this form.</div></body>".format(i)) for i in range(3)]
+    df = spark.createDataFrame([*often, *rare], "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in wrappers.texts(df).collect()}
+    assert got == {i: line.format(i % 1000) for i, *_ in [*often, *rare]}
+    # Hundreds of forms, aligned a few at a time: the expression accepts every page.
+    rng = random.Random(4)
+    mixed = ["<body>" + "".join(rng.choice(("<p>a</p>", "<hr>", "<h2>b</h2>", "<ul><li>c</li><li>d</li></ul>")) for _ in range(rng.randint(1, 8))) + "</body>" for _ in range(400)]
+    rows = spark.createDataFrame([("h" if i % 9 else "other", page) for i, page in enumerate(mixed)], "host string, html string")
+    for forms in (64, 5):
+        monkeypatch.setattr(wrappers, "FORMS", forms)
+        found = {r["host"]: wrappers.Wrapper(wrappers.nodes_of(r["wrapper"])) for r in wrappers.wrappers(rows).collect()}
+        assert set(found) == {"h", "other"}
+        assert all(found["h" if i % 9 else "other"].match(wrappers.stream_of(list(wrappers.slots(page)))) is not None for i, page in enumerate(mixed))
+    # What a page matches does not take longer with the number of places that would do.
+    long = wrappers.Wrapper([("?", tuple("ab" * 3000))])
+    assert long.match(list("ab" * 3000)) == list(range(6000)) and long.match(list("ba" * 3000)) is None
+
+
 def test_differences_of_long_streams(monkeypatch):
     rng = random.Random(11)
     for compared in (1 << 22, 40, 0):
