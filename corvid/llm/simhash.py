@@ -12,7 +12,8 @@ fingerprints within the radius agree on at least two parts, so every pair of par
 similarity of 0.8 leaves some 10 of 64 bits different, where such keys tell nothing apart; there the keys are ``BANDS``
 bands of ``ROWS`` minimum hashes of the shingles each, the bit-sliced comparison within ``WIDE`` bits leaves candidates, and
 each is checked on whole sets. That joins large groups cheaply and can miss links, so ``candidates`` then finds every pair
-of sets not joined yet that can meet the threshold, by the rarest shingles of each, and these are checked on whole sets too.
+of sets not joined yet that can meet the threshold, by the rarest shingles of each and a bound on what differs, and these are
+checked on whole sets too.
 
 In a block the fingerprints are stored as 64 vertical bit planes, once. Rows are compared with the rows ``d`` places on, for
 all rows at a time: planes are shifted by ``d`` bits, exclusive-or gives 64 planes of differences, carry-save counters add
@@ -28,13 +29,14 @@ not read, so their names cannot clash, or are passed on (``keep_one``).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import common
@@ -56,6 +58,8 @@ SALTS = 16
 BANDS, ROWS, WIDE = 16, 5, 20
 #: Texts up to which their numbers travel to the table of texts; what rounding may take from a bound.
 CARRIED, SLACK = 200_000, 1e-6
+#: Bits of a place in the table of how frequent shingles are, parts in which its counts are added up; words of the parities of a set.
+PLACES, SLICES, PARITIES = 21, 64, 8
 _MULTIPLY = (np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -381,7 +385,14 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held, axis=1)
 
 
-def crossing(root: np.ndarray, size: np.ndarray, rest: np.ndarray, least: float, brief: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITIES places: whether an odd number of the set's shingles fall there. Two sets differ in at least
+    as many shingles as bits."""
+    odd = np.bincount((own & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def crossing(root: np.ndarray, size: np.ndarray, rest: np.ndarray, bits: np.ndarray, least: float, brief: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of pairs of a block that have different roots and may meet the threshold; ``brief``: one of a row and the
     rows of each other root, drawn at random, instead of all. Rows are of ascending size."""
     half = least / (1 + least)
@@ -398,6 +409,11 @@ def crossing(root: np.ndarray, size: np.ndarray, rest: np.ndarray, least: float,
             y = b[np.arange(len(x)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + np.repeat(low[own], n[own])]
             fits = (root[x] != root[y]) & (np.minimum(rest[x], rest[y]) >= half * (size[x] + size[y]) - SLACK)
             x, y = x[fits], y[fits]
+            apart = np.zeros(len(x), np.int64)
+            for word in bits:
+                apart += np.bitwise_count((word[x] ^ word[y]).view(np.uint64))
+            fits = apart <= (1 - 2 * half) * (size[x] + size[y]) + SLACK  # what may differ at most
+            x, y = x[fits], y[fits]
             if brief and len(x):
                 mixed = np.random.default_rng(int(size.sum()) + len(x)).permutation(len(x))
                 x, y = x[mixed], y[mixed]
@@ -406,32 +422,69 @@ def crossing(root: np.ndarray, size: np.ndarray, rest: np.ndarray, least: float,
             yield x, y
 
 
-def prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Block rows (h, node, size, rest) of (node, text), sets of shingles that all differ, from which ``candidates`` finds all
-    pairs that may have a similarity of ``least`` or more.
+def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How frequent the shingles of each place, their first PLACES bits, are in the sets of (node, text): steps of a logarithm."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << PLACES, np.uint32)
+        for b in batches:
+            for x in common.as_bytes(b.column(0)):
+                np.add.at(found, np.unique(shingles(x, shingle)) >> np.uint64(64 - PLACES), 1)
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(found.reshape(SLICES, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["part", "counts"])
+
+    def merge(pdf):
+        import pandas as pd
+
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in pdf["counts"])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes()]})
+
+    table = np.zeros((SLICES, (1 << PLACES) // SLICES), np.uint8)
+    for part, counts in common.map_batches(texts.select("text"), count, "part int, counts binary").groupBy("part").applyInPandas(merge, "part int, counts binary").collect():
+        table[part] = np.frombuffer(counts, np.uint8)
+    return table.ravel()
+
 
-    All shingles are put in one order, the rarest first. Of two sets that meet the threshold, take the first shingle that both
-    have: what both share is not before it, so ``rest``, the shingles of a set from there on, is at least ``least`` of the set's,
-    2 ``least`` / (1 + ``least``) of the smaller set's, and in both at least ``least`` / (1 + ``least``) of the sum of sizes. So
-    the blocks are the shingles of at least two sets, and a set is in those that leave enough of it."""
+def prefixes(texts: DataFrame, shingle: int, least: float, bits: DataFrame | None = None) -> DataFrame:
+    """Block rows (h, node, size, rest, bits) of (node, text), sets of shingles that all differ, from which ``candidates`` finds all
+    pairs that may have a similarity of ``least`` or more; ``bits`` (node, bits) are their parities, if known.
+
+    All shingles are put in one order, those of rare places first: any order misses nothing, a good one makes small blocks. Of two
+    sets that meet the threshold, take the first shingle that both have: what both share is not before it, so ``rest``, the
+    shingles of a set from there on, is at least ``least`` of the set's, 2 ``least`` / (1 + ``least``) of the smaller set's, and in
+    both at least ``least`` / (1 + ``least``) of the sum of sizes. So a set is in the blocks of its first shingles, those that
+    leave enough of it, and only these are shuffled; a block of one set is dropped."""
+    spark = texts.sparkSession
+    rare = spark.sparkContext.broadcast(rarity(texts, shingle))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingles(x, shingle)).view(np.int64) for x in common.as_bytes(b.column(1))]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            nodes = np.asarray(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.int64)])), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(sizes, sizes))], ["h", "node", "size"])
+            hs, nodes, rests = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for node, x in zip(b.column(0).to_pylist(), common.as_bytes(b.column(1))):
+                own = np.unique(shingles(x, shingle))
+                rest = np.arange(len(own), 0, -1)
+                rest = rest[rest >= least * len(own) - SLACK]
+                hs.append(own[np.argsort(rare.value[own >> np.uint64(64 - PLACES)], kind="stable")[: len(rest)]].view(np.int64))
+                nodes.append(np.full(len(rest), node, np.int64))
+                rests.append(len(own) << 32 | rest)  # both in one number
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, nodes, rests)], ["h", "node", "rest"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches):
             starts = np.flatnonzero(np.diff(part[0], prepend=~part[0][:1]))
             times = np.diff(np.append(starts, part.shape[1]))
-            times = np.repeat(times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(x[times > 1]) for x in (*part, times)], ["h", "node", "size", "times"])
+            h, node, rest = part[:, np.repeat(times, times) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, node, rest >> 32, rest & 0xFFFFFFFF)], ["h", "node", "size", "rest"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parities(np.unique(shingles(x, shingle))) for x in common.as_bytes(b.column(1))], pa.list_(pa.int64()))], ["node", "bits"])
 
-    shared = common.map_batches(common.map_batches(texts.select("node", "text"), spread, "h long, node long, size long").repartition("h").sortWithinPartitions("h"), met, "h long, node long, size long, times long")
-    rest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.desc("h"))).cast("long")
-    return common.checkpoint(shared.withColumn("rest", rest).where(F.col("rest") >= F.lit(least) * F.col("size") - F.lit(SLACK)))
+    if bits is None:
+        bits = common.map_batches(texts.select("node", "text"), marked, "node long, bits array<long>")
+    shared = common.map_batches(texts.select("node", "text"), spread, "h long, node long, rest long").repartition("h").sortWithinPartitions("h")
+    shared = common.checkpoint(common.map_batches(shared, met, "h long, node long, size long, rest long"))
+    return common.checkpoint(shared.join(bits.select("node", "bits"), "node"))
 
 
 def candidates(prefix: DataFrame, roots: DataFrame, least: float, brief: bool = False) -> DataFrame:
@@ -444,12 +497,12 @@ def candidates(prefix: DataFrame, roots: DataFrame, least: float, brief: bool =
             several = np.minimum.reduceat(part[2], starts) != np.maximum.reduceat(part[2], starts)
             ends = np.append(starts[1:], part.shape[1])
             for i, j in zip(starts[several], ends[several]):
-                _, node, root, size, rest = part[:, i:j][:, np.argsort(part[3, i:j], kind="stable")]
-                for a, b in crossing(root, size, rest, least, brief):
+                _, node, root, size, rest, *bits = part[:, i:j][:, np.argsort(part[3, i:j], kind="stable")]
+                for a, b in crossing(root, size, rest, bits, least, brief):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["u", "v"])
 
-    rows = prefix.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "size", "rest")
+    rows = prefix.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "size", "rest", *(F.col("bits")[i].alias(f"b{i}") for i in range(PARITIES)))
     return common.checkpoint(common.map_batches(rows.repartition("h").sortWithinPartitions("h"), compared, "u long, v long").distinct())
 
 
@@ -463,16 +516,17 @@ def similar(df: DataFrame, number: str, id_col: str = "doc_id", text_col: str =
             sets = [np.unique(h).tobytes() for h in found]
             both = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in sets], np.uint64).view(np.int64)) for seed in (1, 2)]
             fps = np.array([majority(h) for h in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, pa.array(fps), pa.array([bands(h) for h in found], pa.list_(pa.int64()))], ["node", "id", "one", "two", "fp", "keys"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([bands(h) for h in found], [parities(np.frombuffer(x, np.uint64)) for x in sets])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, pa.array(fps), *lists], ["node", "id", "one", "two", "fp", "keys", "bits"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(x, shingle)).view(np.int64) for x in common.as_bytes(b.column(1))], pa.list_(pa.int64()))], ["node", "own"])
 
     texts = df.select(F.col(number).alias("node"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = common.checkpoint(common.map_batches(texts, mark, "node long, id long, one long, two long, fp long, keys array<long>"))
+    marks = common.checkpoint(common.map_batches(texts, mark, "node long, id long, one long, two long, fp long, keys array<long>, bits array<long>"))
     place = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col("node").alias("n"))
-    distinct = marks.groupBy("one", "two").agg(F.min(place).alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys")).withColumn("node", F.col("low.n"))
+    distinct = marks.groupBy("one", "two").agg(F.min(place).alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("bits").alias("bits")).withColumn("node", F.col("low.n"))
     distinct = common.checkpoint(distinct)  # of equal sets the fingerprints may differ, by repeats: any will do
 
     def linked(found: DataFrame) -> DataFrame:
@@ -489,7 +543,7 @@ def similar(df: DataFrame, number: str, id_col: str = "doc_id", text_col: str =
     few = copies.count() <= CARRIED  # then the texts stay where they are
     own = texts.join(F.broadcast(copies), "node", "left_anti") if few else texts.join(distinct.select("node").hint("merge"), "node", "left_semi")
     # A few pairs of each text and component link most of what is alike, so the last turn, over all pairs, has few to try.
-    prefix, edges = prefixes(own, shingle, least), first
+    prefix, edges = prefixes(own, shingle, least, distinct), first
     for brief in (True, False):
         edges = edges.unionByName(linked(candidates(prefix, components(edges), least, brief)))
     named = _named(distinct.select("one", "two", "low", "node"), edges, ["one", "two"], F.col("low"))

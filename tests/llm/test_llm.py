@@ -191,6 +191,36 @@ def test_candidates_against_all_pairs(spark):
         assert want - {(0, 1), (0, 2), (1, 2)} <= found and few <= found
 
 
+def test_candidates_of_a_group_just_below_the_similarity_are_few(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(150):  # each pair shares the first half and most of the rest, but not enough
+        words = list(base)
+        for k in range(3):
+            words[80 + rng.randrange(80)] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingles(x.encode(), 5).tolist()) for x in texts]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.8 * len(a | b)}
+    prefix = simhash.prefixes(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 0.8)
+    found = set(map(tuple, simhash.candidates(prefix, spark.createDataFrame([], "node long, root long"), 0.8).collect()))
+    assert want <= found and len(found) < len(want) + 150 * 149 // 2 / 5
+    for i, j in ((rng.randrange(150), rng.randrange(150)) for _ in range(300)):
+        one, two = (simhash.parities(np.array(sorted(sets[x]), np.uint64)) for x in (i, j))
+        assert np.bitwise_count((one ^ two).view(np.uint64)).sum() <= len(sets[i] ^ sets[j])
+
+
+def test_only_first_shingles_are_shuffled(spark, monkeypatch):
+    texts = [" ".join(f"w{i // 2}x{k}" for k in range(100 + i % 2)) for i in range(40)]  # pairs of copies but for a word
+    prefix = simhash.prefixes(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 0.8)
+    assert all(r["n"] <= 21 for r in prefix.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect())
+    found = set(map(tuple, simhash.candidates(prefix, spark.createDataFrame([], "node long, root long"), 0.8).collect()))
+    assert found == {(i, i + 1) for i in range(0, 40, 2)}
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    monkeypatch.setattr(simhash, "rarity", lambda *_: np.zeros(1 << simhash.PLACES, np.uint8))  # any order finds all
+    assert set(map(tuple, simhash.candidates(simhash.prefixes(df, 5, 0.8), spark.createDataFrame([], "node long, root long"), 0.8).collect())) == found
+
+
 def test_groups_of_more_rows_than_a_tile_are_linked(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 4)
     blocks = spark.createDataFrame([(7, 1 << (n % 3), n) for n in range(20)], "grp long, fp long, node long")
