@@ -71,7 +71,13 @@ class Lattice:
                 text = piece.replace(SPACE, " ")
                 self.pieces[text] = ((i,), sp.get_score(i))
                 self.bytes_of.append(text.encode())
-        self.prefixes: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
+        # Pieces by their characters: of each character what it ends, if a piece, and the characters that may follow.
+        self.starts: dict[str, tuple] = {}
+        for piece in sorted(self.pieces, key=len):
+            here = self.starts
+            for c in piece[:-1]:
+                here = here.setdefault(c, (None, {}))[1]
+            here[piece[-1]] = (self.pieces[piece], here.get(piece[-1], (None, {}))[1])
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN_PENALTY  # -1e9 marks runs of spaces
         if any("\n" in p or " " in p.lstrip(" ") for p in self.pieces):
@@ -96,15 +102,13 @@ class Lattice:
 
     def solve(self, part: str) -> tuple[float, float, bytes]:
         """Forward Viterbi: score of the best segmentation, what the second best lacks to it, ids of the best."""
-        get, n, none = self.prefixes.get, len(part), -1e300
+        starts, n, none = self.starts, len(part), -1e300
         best, second, back = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
         for i in range(n):
-            here, also, j, known = best[i], second[i], i, False
-            while j < n:
+            here, also, j, known, follow = best[i], second[i], i, False, starts
+            while j < n and (node := follow.get(part[j])):
                 j += 1
-                found = get(part[i:j])
-                if found is None:
-                    break
+                found, follow = node
                 if found:  # a piece, not only the start of one
                     known = known or j == i + 1
                     ids, x = found
@@ -115,6 +119,8 @@ class Lattice:
                         second[j] = y
                     if also + x > second[j]:
                         second[j] = also + x
+                if not follow:
+                    break
             if not known:
                 j, y = i + 1, here + self.unknown
                 if y > best[j]:

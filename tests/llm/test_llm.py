@@ -360,6 +360,16 @@ def test_segmentations_against_all(pieces):
         assert pieces.decode(ids) == t and best[0] == score and np.allclose(best, every(t))
 
 
+def test_pieces_are_found_by_their_characters(pieces):
+    def walked(follow, text=""):
+        for c, (found, more) in follow.items():
+            if found:
+                yield text + c, found
+            yield from walked(more, text + c)
+
+    assert dict(walked(pieces.starts)) == pieces.pieces
+
+
 def test_long_parts_without_breaks_take_linear_time(pieces):
     rng = random.Random(2)
     took = []
