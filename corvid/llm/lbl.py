@@ -49,7 +49,9 @@ ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7))
 FAN_IN = 16
 END = 0
 #: Words of the classes that have vectors of their own, noise for each when they are trained, and the rounds that train them.
-MODELLED, INNER_NOISE, INNER_ROUNDS = 20_000, 6, (0, 1, 2)
+MODELLED, INNER_NOISE, INNER_ROUNDS = 20_000, 10, (0, 1, 2)
+#: Words of one class that share their noise in a step.
+SHARING = 8
 #: Words that a task counts before it passes the counts on.
 COUNTED = 200_000
 
@@ -109,6 +111,7 @@ class Model:
         self.unigram, self.slot_class, self.slot_mass = unigram, slot_class, slot_mass
         self.sums, self.starts = np.concatenate(([0.0], np.cumsum(slot_mass))), np.searchsorted(slot_class, np.arange(CLASSES + 1))
         share = slot_mass / np.bincount(slot_class, slot_mass, CLASSES)[slot_class]
+        self.log_inner = np.log(INNER_NOISE * share)
         self.p += [rng.normal(0, 0.3, (SYMBOLS, DIMENSION)), np.zeros((len(slot_class), DIMENSION)), np.log(share)]
 
     def flat(self, inner: bool) -> np.ndarray:
@@ -146,17 +149,17 @@ class Model:
 
     def train(self, streams: Iterator[tuple[np.ndarray, np.ndarray]], inner: bool) -> int:
         """Noise-contrastive estimation over texts' (symbols, slots), in mini-batches with shared noise and adaptive rates."""
-        rng = np.random.default_rng(11)
+        rng, inner_rng = np.random.default_rng(11), np.random.default_rng(12)  # so symbols learn alike, whatever the classes draw
         cumulative, log_noise = np.cumsum(self.unigram), np.log(NOISE * self.unigram)
         squares, held, size, total = [np.full(x.shape, 1e-2) for x in self.p], [], 0, 0
         for s, slots in streams:
             held.append(np.stack((np.concatenate(([END, END], s)), np.concatenate(([-1, -1], slots)))))
             size += len(s)
             if size >= 8 * BATCH:
-                total += self._epoch(held, rng, cumulative, log_noise, squares, inner)
+                total += self._epoch(held, rng, cumulative, log_noise, squares, inner and inner_rng)
                 held, size = [], 0
         if held:
-            total += self._epoch(held, rng, cumulative, log_noise, squares, inner)
+            total += self._epoch(held, rng, cumulative, log_noise, squares, inner and inner_rng)
         return total
 
     def _epoch(self, held, rng, cumulative, log_noise, squares, inner) -> int:
@@ -182,31 +185,42 @@ class Model:
                 squares[i] += g * g
                 self.p[i] = self.p[i] + RATE * g / np.sqrt(squares[i])
             if inner and (slots >= 0).any():
-                self._inner(b[slots >= 0], slots[slots >= 0], rng, squares)
+                self._inner(b[slots >= 0], slots[slots >= 0], inner, squares)
         return grams.shape[1]
 
     def _inner(self, b, slots, rng, squares) -> None:
-        """One step for words of classes: the noise of a word is drawn from its class by count."""
+        """One step for words of classes: noise is drawn from a class by count, and up to SHARING of its words share it."""
         i, u, d = self.p[5:]
-        sums, starts = self.sums, self.starts
-        low, high = sums[starts[self.slot_class[slots]]], sums[starts[self.slot_class[slots] + 1]]
-        drawn = np.searchsorted(sums, low[:, None] + rng.random((len(slots), INNER_NOISE)) * (high - low)[:, None], "right") - 1
-        drawn = np.clip(drawn, starts[self.slot_class[slots]][:, None], starts[self.slot_class[slots] + 1][:, None] - 1)
-        each = np.concatenate((slots[:, None], drawn), axis=1)
-        log_noise = np.log(INNER_NOISE * self.slot_mass[each] / (high - low)[:, None])
-        q, v = i[b], u[each]
-        z = np.einsum("nd,nkd->nk", q, v) + d[each] - log_noise
-        pull = -1 / (1 + np.exp(-z))
-        pull[:, 0] += 1
+        owner = self.slot_class[slots]
+        order = np.argsort(owner.astype(np.uint8), kind="stable")
+        b, slots, owner = b[order], slots[order], owner[order]
+        counts = np.bincount(owner, minlength=CLASSES)
+        blocks = -(-counts // SHARING)
+        own = np.repeat(np.arange(CLASSES), blocks)  # class of each block
+        place = (np.cumsum(blocks) - blocks)[owner] * SHARING + np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+        low, high = self.sums[self.starts[:-1]], self.sums[self.starts[1:]]
+        drawn = np.searchsorted(self.sums, low[own, None] + rng.random((len(own), INNER_NOISE)) * (high - low)[own, None], "right") - 1
+        drawn = np.clip(drawn, self.starts[own][:, None], self.starts[own + 1][:, None] - 1)
+        offset = d - self.log_inner
+        q, v = i[b], u[slots]
+        up = 1 / (1 + np.exp((q * v).sum(axis=1) + offset[slots]))
+        shared, noise = np.zeros((len(own) * SHARING, DIMENSION), np.float32), u[drawn].astype(np.float32)
+        shared[place] = q
+        shared = shared.reshape(len(own), SHARING, DIMENSION)
+        down = np.zeros((len(own) * SHARING, INNER_NOISE), np.float32)
+        down[place] = -1 / (1 + np.exp(-(shared @ noise.swapaxes(1, 2) + offset[drawn].astype(np.float32)[:, None]).reshape(-1, INNER_NOISE)[place]))
+        down = down.reshape(len(own), SHARING, INNER_NOISE)
+        at = np.concatenate((slots, drawn.ravel()))
         met = np.zeros(len(self.slot_mass), bool)
-        met[each] = True
+        met[at] = True
         rows = np.flatnonzero(met)
-        place = np.empty(len(met), np.int64)
-        place[rows] = np.arange(len(rows))
-        at = place[each].ravel()
-        dv = np.stack([np.bincount(at, (pull * x[:, None]).ravel(), len(rows)) for x in np.ascontiguousarray(q.T)], axis=1)
-        dd = np.bincount(at, pull.ravel(), len(rows))
-        di = scatter(b, np.einsum("nk,nkd->nd", pull, v))
+        number = np.empty(len(met), np.int64)
+        number[rows] = np.arange(len(rows))
+        at = number[at]
+        dv = np.concatenate((up[:, None] * q, (down.swapaxes(1, 2) @ shared).reshape(-1, DIMENSION)))
+        dv = np.stack([np.bincount(at, x, len(rows)) for x in np.ascontiguousarray(dv.T)], axis=1)
+        dd = np.bincount(at, np.concatenate((up, down.sum(axis=1).ravel())), len(rows))
+        di = scatter(b, up[:, None] * v + (down @ noise).reshape(-1, DIMENSION)[place])
         for k, g, where in ((5, di, slice(None)), (6, dv, rows), (7, dd, rows)):
             g = g / len(b)
             total = squares[k][where] + g * g

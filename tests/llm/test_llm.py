@@ -296,6 +296,49 @@ def test_all_vectors_of_the_language_model_learn_from_all_texts():
         assert sorted(part for turn in rounds for part in lbl.ROUNDS[turn]) == list(range(8))
 
 
+def test_words_of_a_class_share_noise_in_a_step(monkeypatch):
+    rng = np.random.default_rng(3)
+    mass = np.repeat([5.0, 2.0, 1.0], [64, 200, 100])
+    owner = np.sort(np.concatenate((np.arange(lbl.CLASSES), rng.integers(0, lbl.CLASSES, 300))))
+    model = lbl.Model(np.full(lbl.SYMBOLS, 1 / lbl.SYMBOLS), owner, rng.permutation(mass))
+    model.p[6] = rng.normal(0, 0.5, model.p[6].shape)
+    b, slots = rng.integers(0, lbl.SYMBOLS, 500), rng.integers(0, len(owner), 500)
+    drawn = []
+
+    class Noise:
+        def random(self, shape):
+            drawn.append(rng.random(shape))
+            return drawn[-1]
+
+    before, squares = [x.copy() for x in model.p], [np.full(x.shape, 1e-2) for x in model.p]
+    model._inner(b, slots, Noise(), squares)
+    assert len(drawn[0]) <= 500 / lbl.SHARING + lbl.CLASSES  # a row of noise for each few words, not for each word
+    # The same step word by word.
+    i, u, d = before[5:]
+    want = [np.zeros_like(x) for x in (i, u, d)]
+    row, used = 0, 0
+    share = model.slot_mass / np.bincount(owner, model.slot_mass)[owner]
+    for c in range(lbl.CLASSES):
+        own = np.flatnonzero(owner[slots] == c)
+        for at in range(0, len(own), lbl.SHARING):
+            low, high = model.sums[model.starts[c]], model.sums[model.starts[c + 1]]
+            noise = np.searchsorted(model.sums, low + drawn[0][row] * (high - low), "right") - 1
+            row += 1
+            for n in own[at : at + lbl.SHARING].tolist():
+                for w, y in ((slots[n], 1), *((w, 0) for w in noise)):
+                    assert owner[w] == c
+                    z = i[b[n]] @ u[w] + d[w] - math.log(lbl.INNER_NOISE * share[w])
+                    pull = y - 1 / (1 + math.exp(-z))
+                    want[0][b[n]] += pull * u[w]
+                    want[1][w] += pull * i[b[n]]
+                    want[2][w] += pull
+                    used += 1
+    assert row == len(drawn[0]) and used == 500 * (1 + lbl.INNER_NOISE)
+    for old, now, g in zip(before[5:], model.p[5:], want):
+        g = g / 500
+        assert np.allclose(now, old + lbl.RATE * g / np.sqrt(1e-2 + g * g), atol=1e-5)
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/71?x", "https://example.com/en/8", "x://m.net/de/", "y://b.example.net/de/81#t", "https://net/de", "http://a.org/es/1", None, "no scheme com/en/", "", "http://m.casino-win.example.com/fr/1", "http://casinos.example.com/fr/1", "a://b.com/en/://c", "http://xcom/en/"]
     want = [("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "block"), ("example.net/de/8", "block"), (None, "allow"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), ("com/en/", "block"), (None, "allow")]
