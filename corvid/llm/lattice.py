@@ -5,7 +5,7 @@ heuristic for a best-first (A-star) search backwards from the end, which pops th
 piece crosses a break between a non-space and a space, nor a line feed, so the lattice falls apart at these breaks:
 each part is solved once and remembered, and a text's N best are the N smallest sums of one detour per part. Only the
 N-1 parts with the smallest first detour can take part in those, so a second score beside Viterbi's best finds the parts,
-and the search runs on those alone; this is exact and linear.
+and the search runs on those alone; this is exact and linear. Viterbi takes the short parts of many texts together, in numpy.
 
 The model file gives pieces and scores (it is read, never trained). The space is put in front of the text as the model
 asks; characters without a piece become their UTF-8 bytes at the unknown score, the lowest score minus 10. U+2581 in a
@@ -40,6 +40,8 @@ UNKNOWN_PENALTY = 10.0
 #: Parts that each of two generations of a worker's memory holds, and the longest of them in characters.
 REMEMBERED = 250_000
 LONG = 48
+#: Parts that Viterbi takes together at most, and the mark after each, which is no character.
+TOGETHER, MARK = 20_000, 0x1FFFFF
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
@@ -78,6 +80,7 @@ class Lattice:
             for c in piece[:-1]:
                 here = here.setdefault(c, (None, {}))[1]
             here[piece[-1]] = (self.pieces[piece], here.get(piece[-1], (None, {}))[1])
+        self._number()
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN_PENALTY  # -1e9 marks runs of spaces
         if any("\n" in p or " " in p.lstrip(" ") for p in self.pieces):
@@ -89,16 +92,129 @@ class Lattice:
         self.old: dict[str, tuple] = {}
         self.detours: dict[str, list[float]] = {}
 
-    def recall(self, part: str) -> tuple[float, float, bytes]:
-        """``solve`` with a memory of two generations: when the young one is full the old one goes, so frequent parts,
-        which are asked for again meanwhile, stay."""
-        found = self.old.pop(part, None) or self.solve(part)
-        if len(part) <= LONG:
-            if len(self.memory) >= REMEMBERED:
-                self.old = dict(self.memory)
-                self.memory.clear()
-            self.memory[part] = found
-        return found
+    def _number(self) -> None:
+        """``starts`` as arrays: nodes by number, and a hash table, eight times as large as its content at least, from a node and
+        a character to the next node."""
+        keys, pieces, inner, nodes = [], [((-1,), 0.0)], [True], [(0, self.starts)]
+        for number, follow in nodes:  # grows while it is read
+            for c, (found, more) in follow.items():
+                keys.append(number << 21 | ord(c))
+                nodes.append((len(pieces), more))
+                pieces.append(found or ((-1,), 0.0))
+                inner.append(bool(more))
+        self.node_id = np.array([own[0] for own, _ in pieces], np.int32)  # -1: no piece ends here
+        self.node_score, self.node_inner = np.array([x for _, x in pieces]), np.array(inner)
+        bits = (8 * len(keys)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_node = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        key, node = np.array(keys, np.int64), np.arange(1, len(pieces), dtype=np.int32)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.slot_key[slot] < 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.slot_key[slot[free]], self.slot_node[slot[free]] = key[free], node[free]
+            left = np.ones(len(key), bool)
+            left[free] = False
+            key, node, slot = key[left], node[left], (slot[left] + 1) & (len(self.slot_key) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _next(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node after each node by each character; 0 if there is none."""
+        key = node.astype(np.int64) << 21 | char
+        slot = self._slot(key)
+        held = self.slot_key[slot]
+        out = np.where(held == key, self.slot_node[slot], 0)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slot_key) - 1)
+            held = self.slot_key[slot[open_]]
+            met = held == key[open_]
+            out[open_[met]] = self.slot_node[slot[open_[met]]]
+            open_ = open_[~met & (held >= 0)]
+        return out
+
+    def recall(self, parts: list[str]) -> dict[str, tuple[float, float, bytes]]:
+        """``solve`` of different parts with a memory of two generations: when the young one is full the old one goes, so
+        frequent parts, which are asked for again meanwhile, stay."""
+        out = {p: found for p in parts if (found := self.old.pop(p, None))}
+        short, rest = [], []
+        for p in parts:
+            if p not in out:
+                (short if len(p) <= LONG else rest).append(p)
+        for at in range(0, len(short), TOGETHER):
+            for p, found in zip(some := short[at : at + TOGETHER], self.solve_together(some)):
+                out[p] = found or self.solve(p)
+        for p in rest:
+            out[p] = self.solve(p)
+        for p, found in out.items():
+            if len(p) <= LONG:
+                if len(self.memory) >= REMEMBERED:
+                    self.old = dict(self.memory)
+                    self.memory.clear()
+                self.memory[p] = found
+        return out
+
+    def solve_together(self, parts: list[str]) -> list[tuple[float, float, bytes] | None]:
+        """``solve`` of parts of at most LONG characters, with the same sums in the same order; None for a part that has
+        a character without a piece, which takes bytes."""
+        n = np.array(list(map(len, parts)), np.int64)
+        # Each part is followed by a mark, so the places of a part, its end included, are those of its characters and the mark.
+        chars = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        end = np.cumsum(n + 1) - 1
+        first = end - n
+        chars[end] = MARK
+        rel = np.arange(len(chars)) - np.repeat(first, n + 1)
+        at, node, k = np.arange(len(chars)), np.zeros(len(chars), np.int32), 0
+        edges = []  # start, length, node of each piece that fits
+        while len(at):
+            node = self._next(node, chars[at + k])
+            k += 1
+            fits = self.node_id[node] >= 0
+            edges.append((at[fits], np.full(int(fits.sum()), k), node[fits]))
+            if k == 1:
+                known = fits
+            more = self.node_inner[node] & (node > 0)
+            at, node = at[more], node[more]
+        start, size, node = (np.concatenate(x) for x in zip(*edges))
+        key = (rel[start] * (k + 1) + size).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        start, size, node = start[order], size[order], node[order]
+        x, stop = self.node_score[node], start + size
+        best, second, back = np.full(len(chars), -1e300), np.full(len(chars), -1e300), np.zeros(len(chars), np.int64)
+        best[first] = 0.0
+        bounds = np.cumsum(np.bincount(key))
+        for lo, hi in zip([0, *bounds.tolist()], bounds.tolist()):
+            if lo == hi:
+                continue
+            # Pieces of one length from one place of their parts: each ends at a place of its own.
+            s, e, own = start[lo:hi], stop[lo:hi], x[lo:hi]
+            y, old = best[s] + own, best[e]
+            second[e] = np.maximum(np.maximum(second[e], np.minimum(y, old)), second[s] + own)
+            better = np.flatnonzero(y > old)
+            e = e[better]
+            best[e], back[e] = y[better], better + lo
+        known[end] = True
+        whole = np.logical_and.reduceat(known, first)
+        ids, steps = self.node_id[node], []
+        number, place = np.flatnonzero(whole), end[whole]
+        while len(number):
+            edge = back[place]
+            steps.append((number, ids[edge]))
+            place = start[edge]
+            left = rel[place] > 0
+            number, place = number[left], place[left]
+        count = np.zeros(len(parts), np.int64)
+        for number, _ in steps:
+            count[number] += 1
+        last = np.cumsum(count)
+        flat = np.empty(int(last[-1]) if len(last) else 0, "<i4")
+        for t, (number, own) in enumerate(steps):
+            flat[last[number] - 1 - t] = own
+        data, to = flat.tobytes(), (4 * last).tolist()
+        rows = zip(best[end].tolist(), (best[end] - second[end]).tolist(), [0, *to], to, whole.tolist())
+        return [(score, gap, data[i:j]) if ok else None for score, gap, i, j, ok in rows]
 
     def solve(self, part: str) -> tuple[float, float, bytes]:
         """Forward Viterbi: score of the best segmentation, what the second best lacks to it, ids of the best."""
@@ -134,8 +250,7 @@ class Lattice:
             j, own = back[j]
             ids.extend(reversed(own))
         ids.reverse()
-        found = (best[-1], best[-1] - second[-1], struct.pack(f"<{len(ids)}i", *ids))
-        return found
+        return best[-1], best[-1] - second[-1], struct.pack(f"<{len(ids)}i", *ids)
 
     def _spelt(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -176,13 +291,18 @@ class Lattice:
 
     def encode(self, text: str | None) -> tuple[bytes, float, list[float]]:
         """Ids of the best segmentation (little-endian 32-bit), its score, the scores of the N best in order."""
-        if not text:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, list[float]]]:
+        """``encode`` of each text; the parts that the memory lacks are solved together."""
+        names = [self.parts(f" {t}") if t else [] for t in texts]
+        found = [list(map(self.memory.get, own)) for own in names]
+        new = self.recall(list(dict.fromkeys(p for own, parts in zip(names, found) if None in parts for p, x in zip(own, parts) if x is None)))
+        return [self._joined(own, [x or new[p] for p, x in zip(own, parts)] if None in parts else parts) for own, parts in zip(names, found)]
+
+    def _joined(self, names: list[str], parts: list[tuple[float, float, bytes]]) -> tuple[bytes, float, list[float]]:
+        if not parts:
             return b"", 0.0, [0.0]
-        memory, recall = self.memory, self.recall
-        names = self.parts(f" {text}")
-        parts = list(map(memory.get, names))
-        if None in parts:
-            parts = [found or memory.get(p) or recall(p) for p, found in zip(names, parts)]
         scores, gaps, ids = zip(*parts)
         score, first = float(sum(scores)), np.array(gaps)
         k = min(self.best - 1, len(parts))
@@ -227,7 +347,7 @@ def encode(df: DataFrame, lattice: Lattice, id_col: str = "doc_id", text_col: st
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 texts = part.column(1).to_pylist()
-                found = [lattice.encode(t) for t in texts]
+                found = lattice.encode_all(texts)
                 sizes = np.array([len(x[0]) // 4 for x in found], np.int64)
                 columns = [
                     part.column(0),

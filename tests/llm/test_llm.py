@@ -413,6 +413,23 @@ def test_pieces_are_found_by_their_characters(pieces):
     assert dict(walked(pieces.starts)) == pieces.pieces
 
 
+def test_short_parts_of_many_texts_are_solved_together(pieces, monkeypatch):
+    rng = random.Random(12)
+    parts = list({"".join(rng.choice("abetheé  1中_日<▁😀\0" if rng.random() < 0.1 else "the nigsaro") for _ in range(rng.randint(1, lattice.LONG))) for _ in range(3000)})
+    got = pieces.solve_together(parts)
+    # A part with a character that is no piece is left to the plain form, all others are as it has them.
+    assert [x is None for x in got] == [any(c not in pieces.pieces for c in p) for p in parts]
+    assert all(x is None or x == pieces.solve(p) for p, x in zip(parts, got))
+
+    asked = []
+    fresh, solve = lattice.load(), lattice.Lattice.solve
+    monkeypatch.setattr(lattice.Lattice, "solve", lambda self, part: asked.append(part) or solve(self, part))
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(50)) for _ in range(20)]
+    texts += [None, "", "\0 " + "ab" * lattice.LONG]
+    assert [fresh.decode(x[0]) for x in fresh.encode_all(texts)] == [t or "" for t in texts]
+    assert len(asked) == 2 and all("\0" in p or len(p) > lattice.LONG for p in asked)
+
+
 def test_long_parts_without_breaks_take_linear_time(pieces):
     rng = random.Random(2)
     took = []
