@@ -27,6 +27,8 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +95,7 @@ class Vocabulary:
         """Symbols of the words, slots (-1: none), places in the head (-1: none), words that the head lacks."""
         words = (data or b"").lower().split()
         get = self.place.get
-        places = np.array([get(w, -1) for w in words], np.int64)
+        places = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         lacking = np.flatnonzero(places < 0)
         symbols, slots = self.symbol[places], self.slot[places]
         rare = [words[i] for i in lacking.tolist()]
@@ -164,28 +166,31 @@ class Model:
 
     def _epoch(self, held, rng, cumulative, log_noise, squares, inner) -> int:
         grams = np.concatenate([np.stack((s[0, :-2], s[0, 1:-1], s[0, 2:], s[1, 2:])) for s in held], axis=1)
-        grams = grams[:, rng.permutation(grams.shape[1])]
+        grams = grams.take(rng.permutation(grams.shape[1]), axis=1)
         for at in range(0, grams.shape[1], BATCH):
             a, b, w, slots = grams[:, at : at + BATCH]
             r, ma, mb, v, c = self.p[:5]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), SYMBOLS - 1)
-            q = (r @ ma)[a] + (r @ mb)[b]
-            up = 1 / (1 + np.exp((q * v[w]).sum(axis=1) + c[w] - log_noise[w]))
-            down = q.astype(np.float32) @ (-v[noise].T).astype(np.float32) - (c[noise] - log_noise[noise]).astype(np.float32)
+            q, own = (r @ ma).take(a, axis=0) + (r @ mb).take(b, axis=0), v.take(w, axis=0)
+            single = q.astype(np.float32)
+            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + (c - log_noise)[w]))
+            down = single @ (-v[noise].T).astype(np.float32) - (c[noise] - log_noise[noise]).astype(np.float32)
             np.exp(down, out=down)  # single precision, in place: it is most of the arithmetic
             down += 1
             np.divide(-1, down, out=down)
-            dq = up[:, None] * v[w] + down @ v[noise].astype(np.float32)
-            dv, dc = scatter(w, up[:, None] * q), np.bincount(w, up, SYMBOLS)
-            np.add.at(dv, noise, down.T @ q.astype(np.float32))
+            own *= up[:, None]
+            own += down @ v[noise].astype(np.float32)
+            q *= up[:, None]
+            dv, dc = scatter(w, q, SYMBOLS), np.bincount(w, up, SYMBOLS)
+            np.add.at(dv, noise, down.T @ single)
             np.add.at(dc, noise, down.sum(axis=0))
-            da, db = scatter(a, dq), scatter(b, dq)
+            da, db = scatter(a, own, SYMBOLS), scatter(b, own, SYMBOLS)
             for i, g in enumerate((da @ ma.T + db @ mb.T, r.T @ da, r.T @ db, dv, dc)):
                 g = g / len(w)
                 squares[i] += g * g
                 self.p[i] = self.p[i] + RATE * g / np.sqrt(squares[i])
-            if inner and (slots >= 0).any():
-                self._inner(b[slots >= 0], slots[slots >= 0], inner, squares)
+            if inner and len(rare := np.flatnonzero(slots >= 0)):
+                self._inner(b[rare], slots[rare], inner, squares)
         return grams.shape[1]
 
     def _inner(self, b, slots, rng, squares) -> None:
@@ -202,14 +207,20 @@ class Model:
         drawn = np.searchsorted(self.sums, low[own, None] + rng.random((len(own), INNER_NOISE)) * (high - low)[own, None], "right") - 1
         drawn = np.clip(drawn, self.starts[own][:, None], self.starts[own + 1][:, None] - 1)
         offset = d - self.log_inner
-        q, v = i[b], u[slots]
-        up = 1 / (1 + np.exp((q * v).sum(axis=1) + offset[slots]))
-        shared, noise = np.zeros((len(own) * SHARING, DIMENSION), np.float32), u[drawn].astype(np.float32)
-        shared[place] = q
-        shared = shared.reshape(len(own), SHARING, DIMENSION)
-        down = np.zeros((len(own) * SHARING, INNER_NOISE), np.float32)
-        down[place] = -1 / (1 + np.exp(-(shared @ noise.swapaxes(1, 2) + offset[drawn].astype(np.float32)[:, None]).reshape(-1, INNER_NOISE)[place]))
-        down = down.reshape(len(own), SHARING, INNER_NOISE)
+        q, v = i.take(b, axis=0), u.take(slots, axis=0)
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, v) + offset[slots]))
+        # Contexts by block, zeros in free places; noise by block.
+        source = np.full(len(own) * SHARING, len(q))
+        source[place] = np.arange(len(q))
+        shared = np.concatenate((q, np.zeros((1, DIMENSION)))).astype(np.float32).take(source, axis=0).reshape(len(own), SHARING, DIMENSION)
+        noise = u.take(drawn, axis=0).astype(np.float32)
+        down = shared @ noise.swapaxes(1, 2)
+        down += offset[drawn].astype(np.float32)[:, None]
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        down.reshape(-1, INNER_NOISE)[source == len(q)] = 0
         at = np.concatenate((slots, drawn.ravel()))
         met = np.zeros(len(self.slot_mass), bool)
         met[at] = True
@@ -217,20 +228,53 @@ class Model:
         number = np.empty(len(met), np.int64)
         number[rows] = np.arange(len(rows))
         at = number[at]
-        dv = np.concatenate((up[:, None] * q, (down.swapaxes(1, 2) @ shared).reshape(-1, DIMENSION)))
-        dv = np.stack([np.bincount(at, x, len(rows)) for x in np.ascontiguousarray(dv.T)], axis=1)
+        q *= up[:, None]
+        v *= up[:, None]
+        v += (down @ noise).reshape(-1, DIMENSION).take(place, axis=0)
+        di = scatter(b, v, SYMBOLS)
+        dv = scatter(at, np.concatenate((q, (down.swapaxes(1, 2) @ shared).reshape(-1, DIMENSION))), len(rows))
         dd = np.bincount(at, np.concatenate((up, down.sum(axis=1).ravel())), len(rows))
-        di = scatter(b, up[:, None] * v + (down @ noise).reshape(-1, DIMENSION)[place])
-        for k, g, where in ((5, di, slice(None)), (6, dv, rows), (7, dd, rows)):
-            g = g / len(b)
-            total = squares[k][where] + g * g
+        for k, g, where in ((5, di, np.arange(SYMBOLS)), (6, dv, rows), (7, dd, rows)):
+            g /= len(b)
+            total = squares[k].take(where, axis=0)
+            total += g * g
             squares[k][where] = total
-            self.p[k][where] += RATE * g / np.sqrt(total)
+            g *= RATE
+            g /= np.sqrt(total, out=total)
+            g += self.p[k].take(where, axis=0)
+            self.p[k][where] = g
 
 
-def scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of the values of each symbol."""
-    return np.stack([np.bincount(rows, x, SYMBOLS) for x in np.ascontiguousarray(values.T)], axis=1)
+def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of each of n rows."""
+    cells = np.arange(n * DIMENSION).reshape(n, DIMENSION).take(rows, axis=0)
+    return np.bincount(cells.ravel(), values.ravel(), n * DIMENSION).reshape(n, DIMENSION)
+
+
+class Scorer:
+    """Vocabulary and model, and the model's tables, which a worker makes once for all its tasks."""
+
+    def __init__(self, vocabulary: Vocabulary, model: Model):
+        self.vocabulary, self.model = vocabulary, model
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.model.table(), self.model.inner_table()
+
+    def score(self, data: bytes | None) -> tuple[int, int, float, float, list[bytes]]:
+        """Of a text: words, those of the head, base score but for the end's count and the counts of the words that the head
+        lacks, score but for the latter, and these words."""
+        vocabulary, (table, inner) = self.vocabulary, self.tables
+        symbols, slots, places, rare = vocabulary.read(data)
+        within = np.flatnonzero(slots >= 0)
+        ends = np.concatenate(([END, END], symbols, [END]))
+        lacking = places < 0
+        known = places[~lacking]
+        score = float(table[ends[:-2], ends[1:-1], ends[2:]].sum(dtype=np.float64))
+        score += float(inner[ends[1:-2][within], slots[within]].sum(dtype=np.float64)) + float(vocabulary.own[known].sum())
+        score -= float(vocabulary.log_rest[symbols[lacking] - (SYMBOLS - CLASSES)].sum())
+        base = float(vocabulary.log_count[known].sum()) - (len(places) + 1) * math.log10(vocabulary.n + vocabulary.v + 1)
+        return len(places), len(known), base, score, rare
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -325,41 +369,33 @@ def scores(docs: DataFrame, held_out: Column, part: Column, id_col: str = "doc_i
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out)
     vocabulary, model, counts = fit(rows.where(~F.col("held_out")).select("text", part.alias("part")))
-    held = spark.sparkContext.broadcast((vocabulary, model))
+    held = spark.sparkContext.broadcast(Scorer(vocabulary, model))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and one for each rare word of it; the key of the former is no word."""
-        vocabulary, model = held.value
-        table, inner = model.table(), model.inner_table()
-        base = math.log10(vocabulary.n + vocabulary.v + 1)
-        end_known = vocabulary.n > 0
+        scorer = held.value
+        end_known = scorer.vocabulary.n > 0
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, data, flag in zip(b.column(0).to_pylist(), common.as_bytes(b.column(1)), b.column(2).to_pylist()):
-                symbols, slots, places, rare = vocabulary.read(data)
-                before = np.concatenate(([END], symbols))[: len(slots)][slots >= 0]
-                symbols = np.concatenate(([END, END], symbols, [END]))
-                known = places[places >= 0]
-                score = float(table[symbols[:-2], symbols[1:-1], symbols[2:]].sum(dtype=np.float64))
-                score += float(inner[before, slots[slots >= 0]].sum(dtype=np.float64)) + float(vocabulary.own[known].sum())
-                score -= sum(vocabulary.log_rest[word_class(w) - (SYMBOLS - CLASSES)] for w in rare)
-                n = len(places) + 1
-                fixed = float(vocabulary.log_count[known].sum()) - n * base
-                for x, value in zip(out, (row, doc, f" {row}".encode(), 1, flag, n, fixed, score)):
-                    x.append(value)
-                out_known.append(len(known) + end_known)
-                for w, k in Counter(rare).items():
-                    for x, value in zip(out, (row, None, w, k, None, None, None, None)):
-                        x.append(value)
-                    out_known.append(None)
+            texts: list[tuple] = []
+            owners, words, times = [], [], []
+            for data in common.as_bytes(b.column(1)):
+                size, met, base, score, rare = scorer.score(data)
+                texts.append((row, f" {row}".encode(), 1, size + 1, base, score, met + end_known))
+                if rare:
+                    found = Counter(rare)
+                    owners.append(np.full(len(found), row))
+                    words.extend(found)
+                    times.extend(found.values())
                 row += 1
-            kinds = (pa.int64(), b.column(0).type, pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds)), pa.array(out_known, pa.int64())], names)
-            out_known.clear()
+            rows, keys, ones, sizes, bases, found, knowns = zip(*texts) if texts else [()] * 7
+            of_words = (np.concatenate([np.empty(0, np.int64), *owners]), None, words, times, None, None, None, None, None)
+            of_texts = (rows, b.column(0), keys, ones, b.column(2), sizes, bases, found, knowns)
+            kinds = (pa.int64(), b.column(0).type, pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            both = [(x if isinstance(x, pa.Array) else pa.array(x, k), pa.nulls(len(words), k) if y is None else pa.array(y, k)) for x, y, k in zip(of_texts, of_words, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in both], names)
 
-    out_known: list = []
     names = ["row", "id", "word", "k", "held_out", "n_tokens", "fixed", "score", "known"]
     found = common.map_batches(rows, run, f"row long, id {kind}, word binary, k long, held_out boolean, n_tokens long, fixed double, score double, known long")
     ends = math.log10(1 + vocabulary.ends)  # each text has one end

@@ -339,6 +339,35 @@ def test_words_of_a_class_share_noise_in_a_step(monkeypatch):
         assert np.allclose(now, old + lbl.RATE * g / np.sqrt(1e-2 + g * g), atol=1e-5)
 
 
+def test_a_training_step_sums_all_dimensions_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, values = rng.integers(0, 50, 400), rng.normal(size=(400, lbl.DIMENSION))
+    want = np.zeros((60, lbl.DIMENSION))
+    np.add.at(want, rows, values)
+    owner = np.sort(np.concatenate((np.arange(lbl.CLASSES), rng.integers(0, lbl.CLASSES, 300))))
+    model = lbl.Model(np.full(lbl.SYMBOLS, 1 / lbl.SYMBOLS), owner, np.ones(len(owner)))
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *x, **y: calls.append(1) or bincount(*x, **y))
+    assert model.train(iter([(rng.integers(0, lbl.SYMBOLS, 500), rng.integers(0, len(owner), 500))]), True) == 500
+    assert len(calls) < lbl.DIMENSION  # one step: a few sums, not one a dimension
+    assert np.allclose(lbl.scatter(rows, values, 60), want)
+
+
+def test_tables_of_the_language_model_are_made_once_for_many_texts(monkeypatch):
+    head = sorted(((f"w{i}".encode(), 400 - i) for i in range(300)), key=lambda x: (-x[1], x[0]))
+    masses = Counter()
+    for w, c in head[lbl.SYMBOLS - lbl.CLASSES - 1 :]:
+        masses[lbl.word_class(w)] += c + 1
+    vocabulary = lbl.Vocabulary(head, masses, sum(c for _, c in head) + 10, 301, 10)
+    model = lbl.Model(np.full(lbl.SYMBOLS, 1 / lbl.SYMBOLS), vocabulary.slot_class, vocabulary.slot_mass)
+    made, table = [], lbl.Model.table
+    monkeypatch.setattr(lbl.Model, "table", lambda self: made.append(1) or table(self))
+    scorer = lbl.Scorer(vocabulary, model)
+    assert not made  # nor is a table sent to the workers
+    got = [scorer.score(x) for x in (b"W1 w299 other  other", None, b"", b"w1")]
+    assert len(made) == 1 and [x[:2] for x in got] == [(4, 2), (0, 0), (0, 0), (1, 1)] and got[0][4] == [b"other"] * 2 and got[1] == got[2]
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/71?x", "https://example.com/en/8", "x://m.net/de/", "y://b.example.net/de/81#t", "https://net/de", "http://a.org/es/1", None, "no scheme com/en/", "", "http://m.casino-win.example.com/fr/1", "http://casinos.example.com/fr/1", "a://b.com/en/://c", "http://xcom/en/"]
     want = [("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "block"), ("example.net/de/8", "block"), (None, "allow"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), ("com/en/", "block"), (None, "allow")]
